@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, huffman, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_huffman": huffman.op2_huffman,
         "op3_mixing": mixing.op3_mixing,
         "op4_quality": quality.op4_quality,
         "op5_chat": chat.op5_chat,
+        "op9_packing": packing.op9_packing,
     }
 
 
