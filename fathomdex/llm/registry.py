@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, huffman, mixing, packing, quality, toxicity
+from . import chat, huffman, mixing, ngram_join, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_quality": quality.op4_quality,
         "op5_chat": chat.op5_chat,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op9_packing": packing.op9_packing,
     }
 
