@@ -41,7 +41,7 @@ SEGMENT = 512
 LEVEL = 9
 #: Bounds of the samples, per class: segments, and documents they are cut from, for the
 #: dictionaries; documents for cut and curve.
-SEGMENTS_PER_CLASS = 20_000
+SEGMENTS_PER_CLASS = 10_000
 DICTIONARY_DOCUMENTS = 4_000
 DOCUMENTS_PER_CLASS = 2_000
 ORDINARY_BYTES = 4_096
@@ -83,18 +83,20 @@ def windows(text: bytes, size: int) -> list[bytes]:
 def _contexts(segments: list[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many distinct contexts (word before, the word) each word or beginning of a
     word occurs."""
-    seen: dict[bytes, set] = defaultdict(set)
+    counts: dict[bytes, int] = defaultdict(int)
     every = set()
     for s in segments:
         words = _LETTERS.findall(s)
         for k, w in enumerate(words):
             at = hash((words[k - 1] if k else b"", w))
+            if at in every:
+                continue
             every.add(at)
             for n in range(3, min(len(w), 12)):
-                seen[b" " + w[:n]].add(at)
+                counts[b" " + w[:n]] += 1
             if len(w) > 2:
-                seen[b" " + w + b" "].add(at)
-    return {k: len(v) for k, v in seen.items()}, len(every)
+                counts[b" " + w + b" "] += 1
+    return counts, len(every)
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
