@@ -11,6 +11,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that a worker remembers.
 MEMO_WORDS = 150_000
@@ -60,7 +61,7 @@ def text_chunks(batches, text: int = 1):
     """(batch slice, its texts as bytes), of about CHUNK_BYTES at most, one row at least."""
     for batch in batches:
         col = batch.column(text).cast(pa.binary())
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0))
         at, n = 0, len(sizes)
         total = np.cumsum(sizes)
         while at < n:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, huffman, mixing, ngram_join, packing, quality, toxicity
+from . import chat, huffman, media, mixing, ngram_join, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_chat": chat.op5_chat,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op9_packing": packing.op9_packing,
+        "op10_media": media.op10_media,
     }
 
 
