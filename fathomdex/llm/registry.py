@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, huffman, media, mixing, ngram_join, packing, quality, toxicity
+from . import chat, html_text, huffman, media, mixing, ngram_join, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_chat": chat.op5_chat,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op7_html": html_text.op7_html,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_packing": packing.op9_packing,
         "op10_media": media.op10_media,
     }
