@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only_columns, staged, table, work_dir
@@ -162,24 +162,9 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], end_id: int) -> DataF
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """rows, sorted by shard and doc_id in each partition, with their start in the shard."""
-
-    def run(batches):
-        shard, start = None, 0
-        for b in batches:
-            s, n = np.asarray(b.column(0)), np.asarray(b.column(2))
-            if not len(s):
-                continue
-            upto = np.cumsum(n)
-            before = upto - n
-            first = np.flatnonzero(np.r_[s[0] != shard, s[1:] != s[:-1]])
-            base = np.full(len(s), start)
-            for f in first:
-                base[f:] = -before[f]
-            yield pa.record_batch([*b.columns, pa.array(before + base)], names=[*b.schema.names, "start"])
-            shard, start = s[-1], int((before + base)[-1] + n[-1])
-
-    return rows.mapInArrow(run, "shard int, doc_id long, n long, ids binary, start long")
+    """rows, dealt by shard and sorted by doc_id there, with their start in the shard."""
+    before = Window.partitionBy("shard").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("start", F.sum("n").over(before) - F.col("n"))
 
 
 def count_ids(rows: DataFrame, size: int) -> np.ndarray:
@@ -246,7 +231,6 @@ def write_ids(docs: DataFrame, out: str, path: str, end_id: int = END_ID) -> Non
     n = int(min(MAX_SHARDS, max(1, (got["bytes"] or 0) // SHARD_BYTES)))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100_000)).first()[0] if n > 1 else []
     rows = encoded(docs, path, sorted(set(cuts or [])), end_id)
-    rows = rows.repartition(F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     rows = staged(placed(rows), "token-ids")
     size = _vocabulary(path)
     bits = code_lengths(count_ids(rows, size))

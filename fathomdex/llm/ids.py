@@ -1,22 +1,30 @@
-"""Token ids of whole texts, by the tokenizers library, with a memo of words.
-
-The tokenizer drops white space and never joins across it, so a text's ids are its
-words' ids one after the other; each distinct word goes to the library once while it is
-remembered. The memo is emptied when it is full, which changes no result.
+"""Token ids of whole texts, by the tokenizers library, with a memo of pieces of words.
+
+Where the tokenizer drops white space, lower-cases, and splits words by PATTERN before
+its merges (its file says so), a text's ids are its words' pieces' ids one after the
+other. Each distinct piece goes to the library once while it is remembered; the memo is
+keyed by 64-bit hashes, bounded, and refilled from the texts at hand when full. Words
+with quotes, with letters from U+0240 on, or that could hold a special token go to the
+library whole; so do whole texts with any other tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers.
-MEMO_WORDS = 150_000
+from .word_hash import hashed_pieces
+
+#: Pieces that a worker remembers.
+MEMO = 600_000
 #: Bytes of text encoded at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: The word pattern of the public tokenizer (a fixed value). Pieces are cut by its rules.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -28,7 +36,38 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.memo: dict[bytes, bytes] = {}
+        # pieces by hash, in order: how many ids, and where they are in `flat`
+        self.keys = np.array([0], np.uint64)
+        self.count = self.place = np.array([0], np.int64)
+        self.flat = np.zeros(0, self.dtype)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_piece = self._fits(spec)
+        self.last = np.zeros(max(spec["model"].get("vocab", {"": 0}).values(), default=0) + 1, bool)
+        if self.by_piece:
+            suffix = spec["model"]["end_of_word_suffix"]
+            for token, k in spec["model"]["vocab"].items():
+                self.last[k] = token.endswith(suffix)
+
+    @staticmethod
+    def _fits(spec: dict) -> bool:
+        """Is it a tokenizer of the kind described above?"""
+        try:
+            norm = [x["type"] for x in spec["normalizer"]["normalizers"]]
+            split, rest = spec["pre_tokenizer"]["pretokenizers"]
+            return bool(
+                norm == ["NFC", "Replace", "Lowercase"]
+                and split["type"] == "Split"
+                and split["pattern"]["Regex"] == PATTERN
+                and split["invert"]
+                and split["behavior"] == "Removed"
+                and rest["type"] == "ByteLevel"
+                and not rest["add_prefix_space"]
+                and spec["model"]["end_of_word_suffix"]
+                and all(not x["lstrip"] and not x["rstrip"] and x["content"].startswith("<|") for x in spec["added_tokens"])
+            )
+        except (KeyError, TypeError, ValueError):
+            return False
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -36,25 +75,74 @@ class WordEncoder:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
 
+    def _library(self, texts: list[str]) -> list[bytes]:
+        fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        return [np.array(e.ids, self.dtype).tobytes() for e in fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes], whole: list[bool]) -> list[bytes]:
+        """The ids of new pieces. Many go to a call: each ends where a token ends a word.
+        Words marked whole go to the library one by one."""
+        out: list[bytes] = [b""] * len(pieces)
+        single = [k for k, w in enumerate(whole) if w]
+        many = [k for k, w in enumerate(whole) if not w]
+        size = self.dtype.itemsize
+        for at in range(0, len(many), 2_000):
+            part = many[at : at + 2_000]
+            raw = self._library([b" ".join([pieces[k] for k in part]).decode()])[0]
+            ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.dtype)]) + 1) * size
+            if len(ends) == len(part):
+                begin = 0
+                for k, e in zip(part, ends.tolist(), strict=True):
+                    out[k] = raw[begin:e]
+                    begin = e
+            else:
+                single += part
+        if single:
+            for k, x in zip(single, self._library([pieces[k].decode() for k in single]), strict=True):
+                out[k] = x
+        return out
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text; null is empty."""
-        memo = self.memo
-        split = [(t or b"").split() for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(set(words).difference(memo))
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = set().union(*split)
-            order = list(new)
-            fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-            for k in range(0, len(order), 20_000):
-                part = order[k : k + 20_000]
-                for w, e in zip(part, fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, self.dtype).tobytes()
-        get = memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.dtype) for words in split]
+        """Ids of each UTF-8 text; null is empty. Pieces are told apart by a 64-bit hash;
+        each one that the memo lacks is looked up once, and ids are gathered."""
+        if not self.by_piece:
+            return [np.frombuffer(x, self.dtype) for x in self._library([(t or b"").decode() for t in texts])]
+        # ASCII letters are lower-cased at once, but for texts that may hold special tokens
+        low = [(t if b"<|" in t else t.lower()) if t else b"" for t in texts]
+        buf = b" ".join(low)
+        start, end, h, whole = hashed_pieces(buf)
+        if not len(start):
+            return [np.zeros(0, self.dtype) for _ in texts]
+        hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.keys, hashes)
+        known = self.keys[np.minimum(spot, len(self.keys) - 1)] == hashes
+        new = first[~known]
+        learned = self._learn([buf[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], whole[new].tolist())
+        sizes = np.fromiter(map(len, learned), np.int64, len(learned)) // self.dtype.itemsize
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(learned), self.dtype)])
+        n, at = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        n[known], at[known] = self.count[spot[known]], self.place[spot[known]]
+        n[~known], at[~known] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
+        size = n[which]
+        upto = np.cumsum(size)
+        out = flat[np.repeat(at[which] - (upto - size), size) + np.arange(int(upto[-1]))]
+        self._remember(hashes, spot, known, n, at, flat)
+        # the texts' ends, in pieces and then in ids
+        edge = np.cumsum([len(t) + 1 for t in low])
+        cut = np.r_[0, upto][np.searchsorted(start, edge)]
+        return np.split(out, cut[:-1])
+
+    def _remember(self, hashes, spot, known, n, at, flat) -> None:
+        if len(self.keys) + int((~known).sum()) > MEMO:  # keep what these texts use
+            self.keys, self.count = hashes, n
+            self.place = np.cumsum(n) - n
+            self.flat = flat[np.repeat(at - self.place, n) + np.arange(int(n.sum()))]
+            return
+        where = spot[~known]
+        self.keys = np.insert(self.keys, where, hashes[~known])
+        self.count = np.insert(self.count, where, n[~known])
+        self.place = np.insert(self.place, where, at[~known])
+        self.flat = flat
 
 
 def text_chunks(batches, text: int = 1):
