@@ -4,14 +4,17 @@ Shingles are ordered rare first by a count sketch of fixed width over all docume
 and sketch noise by the shingle's hash, so the order is one for all). Two sets that reach
 the threshold share a shingle among the first n - ceil(t n) + 1 of each. Those prefixes
 are joined on the shingle; pairs pass a length filter and a positional filter where they
-meet, a suffix filter over the counts of their shingles in fixed parts of the hash space
-afterwards, and are then verified once each against the whole sets.
-
-Equal sets are one class and joined as one; copies are counted, never paired. Prefixes
-travel as packed blocks of numbers, dealt out by the shingle's hash. A list of more than
-LIST_MAX classes that share a prefix shingle is worked off in pairs of blocks by many
-tasks. Verification deals each candidate's text to the groups its pairs are in, groups of
-bounded size.
+meet, a suffix filter that bounds the sets' difference by that of their parity bitmaps,
+and are then verified once each against the whole sets.
+
+Equal sets are one class and joined as one; copies are never paired. Prefixes travel as
+packed blocks of numbers, dealt out by the shingle's hash. Of a list of more than LIST_MAX
+classes that share a prefix shingle, the pairs that pass all filters are found inside one
+task per pair of blocks of members, and only a spanning forest of them, over components
+known so far, goes on to be verified; in a second round all that are left between
+different components follow. So groups of near copies cost about their size, and
+components stay exact. Verification deals each candidate's text to the groups its pairs
+are in, groups of bounded size.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a text of
 fewer words than a shingle is one shingle; rows that share an id are one document of
@@ -31,71 +34,31 @@ from pyspark.sql import functions as F
 
 from .common import only_columns, staged, table
 from .ids import text_chunks
+from .word_hash import hashed_words
+from .word_hash import mix as _mix
 
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 #: Prefix shingles in a bucket, about, and held by a task before it writes them out.
-BUCKET_ROWS = 1_000_000
-HELD_ROWS = 1_500_000
-LIST_MAX = 2048
+BUCKET_ROWS = 500_000
+HELD_ROWS = 1_000_000
+#: Classes in a list that are all paired at once; members of a block of a longer one.
+LIST_MAX = 8
 BLOCK = 1024
 #: Documents of one group of verification, and rows of its plan that may be broadcast.
 GROUP_DOCS = 256
 BROADCAST_ROUTES = 500_000
-PARTS = 16
+#: Bits of a parity bitmap: the power of two from BITS_EACH a shingle on, within bounds.
+BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 1 << 14
 
 _U64 = np.uint64
-_RATIO = 0x9E3779B97F4A7C55  # odd
-_powers: list[np.ndarray] = []
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits (splitmix64's finish)."""
-    x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U64(27))) * _U64(0x94D049BB133111EB)
-    return x ^ (x >> _U64(31))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ratio^k and ratio^-k mod 2^64, for k below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        inverse = pow(_RATIO, -1, 1 << 64)
-        _powers[:] = [np.multiply.accumulate(np.r_[_U64(1), np.full(size - 1, r, _U64)]) for r in (_RATIO, inverse)]
-    return _powers[0], _powers[1]
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a lower-cased text, all at once."""
-    raw = np.frombuffer(text, np.uint8)
-    inside = ~_SPACE[raw]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, _U64)
-    up, down = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, _U64)
-    np.cumsum((raw.astype(_U64) + _U64(1)) * up[: len(raw)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
 
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text, A-Z lower-cased."""
     text = (text or b"").lower()
-    if len(text) <= 1 << 20:
-        h = word_hashes(text)
-    else:  # long texts in parts that end at white space
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + (1 << 20))
-            while end < len(text) and text[end] not in b" \t\n\v\f\r":
-                end += 1
-            parts.append(word_hashes(text[at:end]))
-            at = end
-        h = np.concatenate(parts)
+    h = hashed_words(text)[2]
     n = len(h)
     if not n:
         return h
@@ -119,18 +82,38 @@ def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=12).digest()
 
 
-ROWS = "doc_id long, n int, sig binary, parts array<int>, chunk int, sketch binary"
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bitmap of the parities of the numbers of members by hash. Two sets differ in at
+    least as many members as their bitmaps in bits; halves xor-ed make the next smaller."""
+    m = min(BITS_MOST, max(BITS_LEAST, 1 << max(0, BITS_EACH * len(s) - 1).bit_length()))
+    odd = np.bincount((s >> _U64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, n) ^ _folded(y, n)).sum())
+
+
+ROWS = "doc_id long, n int, sig binary, bits binary, chunk int, sketch binary"
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Per document its set's size, signature and counts by part; and, with chunk set,
+    """Per document its set's size, signature and parity bitmap; and, with chunk set,
     each task's part of the sketch."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         seen = False
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "sig", "parts", "chunk", "sketch"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "sig", "bits", "chunk", "sketch"]
         for rows, texts in text_chunks(batches):
             out, every = [[], [], []], []
             for t in texts:
@@ -138,7 +121,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 every.append(s)
                 out[0].append(len(s))
                 out[1].append(_signature(s))
-                out[2].append(np.bincount((s >> _U64(24)).astype(np.int64) % PARTS, minlength=PARTS).tolist())
+                out[2].append(parity_bits(s))
             counts += np.bincount((np.concatenate(every) & _U64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
             seen = True
             none = [None] * len(texts)
@@ -263,12 +246,13 @@ def _sig_bytes(a: np.ndarray, b: np.ndarray) -> list[bytes]:
     return [raw[12 * i : 12 * i + 12] for i in range(len(a))]
 
 
-PAIRS = "a binary, b binary, list long, size int, pos int"
+PAIRS = "a binary, b binary, list long, members binary"
+_MEMBER = np.dtype([("a", ">u8"), ("b", ">u4"), ("size", "<u4"), ("pos", "<u4")])
 
 
 def bucket_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of signatures, a < b; rows with `list` set are members a
-    of lists that are too long to be paired here."""
+    """Candidate pairs (a, b) of signatures, a < b; and one row with the members of each
+    list that is too long to be paired whole."""
 
     def run(t: pa.Table) -> pa.Table:
         hi, lo, size, h, ref, pos = _parsed(t.column("payload").to_pylist())
@@ -302,49 +286,80 @@ def bucket_pairs(buckets: DataFrame, percent: int) -> DataFrame:
                 v = (lists[q : q + step, None] + y).ravel()
                 ok = _passing(s[u], p[u], s[v], p[v], percent)
                 found.append(np.unique(c[u[ok]] * len(first) + c[v[ok]]))
+        lists = []
+        for at, k in zip(start[m > LIST_MAX].tolist(), m[m > LIST_MAX].tolist(), strict=True):
+            row = np.zeros(k, _MEMBER)
+            of = first[c[at : at + k]]
+            row["a"], row["b"], row["size"], row["pos"] = hi[of], lo[of], s[at : at + k], p[at : at + k]
+            lists.append((int(g[at].astype(np.int64)), row.tobytes()))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         a, b = first[pairs // max(1, len(first))], first[pairs % max(1, len(first))]
-        long = np.flatnonzero(np.repeat(m > LIST_MAX, m))
-        at = first[c[long]]
-        none = [None] * len(a)
+        none = [None] * len(lists)
         return pa.table(
             {
-                "a": pa.array(_sig_bytes(hi[a], lo[a]) + _sig_bytes(hi[at], lo[at]), pa.binary()),
-                "b": pa.array(_sig_bytes(hi[b], lo[b]) + [None] * len(long), pa.binary()),
-                "list": pa.array(none + g[long].astype(np.int64).tolist(), pa.int64()),
-                "size": pa.array(none + s[long].tolist(), pa.int32()),
-                "pos": pa.array(none + p[long].tolist(), pa.int32()),
+                "a": pa.array(_sig_bytes(hi[a], lo[a]) + none, pa.binary()),
+                "b": pa.array(_sig_bytes(hi[b], lo[b]) + none, pa.binary()),
+                "list": pa.array([None] * len(a) + [x for x, _ in lists], pa.int64()),
+                "members": pa.array([None] * len(a) + [x for _, x in lists], pa.binary()),
             }
         )
 
     return buckets.groupBy("bucket").applyInArrow(run, PAIRS)
 
 
-def long_list_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """The pairs of the long lists: members are dealt into blocks, and each pair of
-    blocks is a task of its own."""
-    members = found.filter("list is not null").select("list", "a", "size", "pos")
-    blocks = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "list").withColumn("x", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+def rest_pairs(found: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(u, v) of the members of long lists that are in different components so far and
+    pass all filters; with forest, in each task only so many as connect the same.
+    Lists whose members are all in one go first; the others' members are dealt into
+    blocks, and each pair of blocks is a task of its own."""
+
+    def read(batches):
+        for b in batches:
+            for x, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                row = np.frombuffer(raw, _MEMBER)
+                yield pa.record_batch([pa.array([x] * len(row), pa.int64()), pa.array(_sig_bytes(row["a"], row["b"]), pa.binary()), pa.array(row["size"].astype(np.int32)), pa.array(row["pos"].astype(np.int32))], names=["list", "sig", "size", "pos"])
+
+    rows = found.filter("list is not null").select("list", "members").mapInArrow(read, "list long, sig binary, size int, pos int")
+    known = classes.select("sig", "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "bits", F.coalesce("component", "rep").alias("component"))
+    rows = staged(rows.join(known, "sig").drop("sig"), "join-lists")
+    mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").drop("lo", "hi")
+    rows = rows.join(mixed, "list").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "a", "size", "pos")
+    rows = rows.select("list", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "rep", "component", "size", "pos", "bits")
 
     def run(t: pa.Table) -> pa.Table:
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        x, size, pos = (t.column(k).to_numpy() for k in ("x", "size", "pos"))
-        sig = t.column("a").to_pylist()
+        x, size, pos, rep, of = (t.column(k).to_numpy() for k in ("x", "size", "pos", "rep", "component"))
+        raw = [np.frombuffer(b, "<u8") for b in t.column("bits").to_pylist()]
+        words = np.array([len(b) for b in raw])
+        level = {}
+        for w in np.unique(words):
+            level[w] = np.zeros((len(raw), w), np.uint64)
+            for i in np.flatnonzero(words >= w):
+                level[w][i] = _folded(raw[i], w)
+        label = of.copy()
         left, right = np.flatnonzero(x == p), np.flatnonzero(x == q)
-        out = [[], []]
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             r = right[right > i] if p == q else right
-            ok = _passing(np.full(len(r), size[i]), np.full(len(r), pos[i]), size[r], pos[r], percent)
-            for j in r[ok]:
-                u, v = sorted((sig[i], sig[j]))
-                out[0].append(u)
-                out[1].append(v)
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-    return rows.groupBy("list", "p", "q").applyInArrow(run, "a binary, b binary")
+            r = r[label[r] != label[i]]
+            r = r[_passing(np.full(len(r), size[i]), np.full(len(r), pos[i]), size[r], pos[r], percent)]
+            w = np.minimum(words[i], words[r])
+            apart = np.zeros(len(r), np.int64)
+            for k in np.unique(w):
+                at = np.flatnonzero(w == k)
+                apart[at] = np.bitwise_count(level[k][i] ^ level[k][r[at]]).sum(1)
+            both = size[i].astype(np.int64) + size[r]
+            r = r[(both - apart) >= 2 * needed(size[i].astype(np.int64), size[r].astype(np.int64), percent)]
+            if forest and len(r):
+                near, first = np.unique(label[r], return_index=True)
+                r = r[first]
+                label[np.isin(label, near)] = label[i]
+            u.append(np.minimum(rep[i], rep[r]))
+            v.append(np.maximum(rep[i], rep[r]))
+        return pa.table({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+
+    return rows.groupBy("list", "p", "q").applyInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -410,47 +425,62 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return texts.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(run, "u long, v long")
 
 
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v) whose bitmaps allow enough members in common."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    p = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_n", "v_n", "u_bits", "v_bits")
+
+    def run(batches):
+        for b in batches:
+            a, c = (np.asarray(b.column(k)).astype(np.int64) for k in (2, 3))
+            apart = np.fromiter((_differ(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)), np.int64, len(b))
+            keep = pa.array(a + c - apart >= 2 * needed(a, c, percent))
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+    return p.mapInArrow(run, "u long, v long").distinct()
+
+
 def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT):
     """(rows, classes, links): rows (doc_id, n, sig), classes of equal sets (sig, rep, n,
-    copies), and verified links (u, v) between classes' representatives, each once."""
+    copies), and verified links (u, v) between classes' representatives: all of them but
+    those inside components that others already connect."""
     spark = docs.sparkSession
     docs = only_columns(docs, ("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     every = staged(profiles(docs, k), "join-profiles")
     rows = every.filter("chunk is null")
-    classes = staged(rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.count("*").alias("copies")), "join-classes")
+    classes = staged(rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "join-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * (100 - percent) // 100) // BUCKET_ROWS + 1)
     counts = merged_sketch(every)
     rarity = spark.sparkContext.broadcast(np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8))
     found = staged(bucket_pairs(prefixes(docs, rarity, buckets, k, percent), percent), "join-candidates")
-    cand = found.filter("list is null").select("a", "b")
+    side = lambda x: classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"))
+    p = found.filter("list is null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    p = p.filter("a_rep <> b_rep").select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
+    tested = staged(_suffix_filter(p, classes, percent), "join-pairs")
+    edges = staged(verified(docs, tested, k, percent), "join-links")
     if found.filter("list is not null").limit(1).count():
-        cand = cand.unionByName(long_list_pairs(found, percent))
-    cand = cand.distinct()
-    side = lambda x: classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"), F.col("n").alias(f"{x}_n"), F.col("parts").alias(f"{x}_parts"))
-    p = cand.join(side("a"), "a").join(side("b"), "b")
-    # suffix filter: no more members in common than in each part of the hash space
-    bound = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    p = p.filter((100 + percent) * bound >= percent * (F.col("a_n") + F.col("b_n")))
-    p = staged(p.filter("a_rep <> b_rep").select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct(), "join-pairs")
-    return rows, classes, staged(verified(docs, p, k, percent), "join-links")
+        for forest in (True, False):
+            more = rest_pairs(found, classes, components(edges), percent, forest)
+            more = staged(more.join(tested, ["u", "v"], "left_anti"), "join-pairs")
+            edges = edges.unionByName(staged(verified(docs, more, k, percent), "join-links"))
+            tested = tested.unionByName(more)
+    return rows, classes, edges
 
 
 def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that
-    links reach), n_links (other documents it links with, copies counted)."""
+    links reach), n_copies (documents with the same set, itself included)."""
     rows, classes, edges = links(docs, k, percent)
     comp = components(edges)
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    weight = both.join(classes.select(F.col("rep").alias("v"), "copies"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))
-    known = classes.select("sig", "rep", "copies").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(weight, "rep", "left")
-    known = known.select("sig", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    known = classes.select("sig", "rep", "copies").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("sig", F.coalesce("component", "rep").alias("component"), "copies")
     out = rows.select("doc_id", "n", "sig").join(known, "sig", "left")
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
