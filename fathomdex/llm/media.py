@@ -141,7 +141,7 @@ def features(media: bytes):
     k = -(-n // FRAMES)
     tensor = np.zeros((k * FRAMES, MELS), np.float32)
     tensor[:n] = np.round(mel, 3)
-    seg = segments(mel.mean(1)) * HOP / out_rate
+    seg = segments(np.log(np.exp(mel).sum(1))) * HOP / out_rate
     true = np.minimum(FRAMES, n - np.arange(k) * FRAMES)
     return tensor.reshape(k, FRAMES, MELS), true, seg
 
