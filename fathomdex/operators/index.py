@@ -81,13 +81,20 @@ class Index:
     """Documents with their postings, statistics and vector lengths, all lazy. `save`
     writes them clustered by term, so that a query's scan skips row groups."""
 
-    def __init__(self, docs: DataFrame, fields: Sequence[FieldSpec], key: str = "key", postings: DataFrame | None = None, weighting: Weighting | None = None, lengths: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, fields: Sequence[FieldSpec], key: str = "key", postings: DataFrame | None = None, weighting: Weighting | None = None, lengths: DataFrame | None = None, terms: DataFrame | None = None, counts: dict | None = None):
         self.fields = {f.name: f for f in fields}
         self.key = key
         self.docs = docs
         self.weighting = weighting or TFIDF()
         self.postings = postings if postings is not None else postings_of(docs, key, fields)
         self._lengths = lengths
+        self._terms = terms
+        self._counts = counts or {}
+
+    @property
+    def bare_postings(self) -> DataFrame:
+        """Postings without the vector lengths that a saved index keeps in them."""
+        return self.postings.drop("dvl", "ld")
 
     @staticmethod
     def build(rows: DataFrame, key: str, fields: Sequence[FieldSpec], order: str | None = None, unique: bool = False, **kw) -> Index:
@@ -113,15 +120,19 @@ class Index:
 
     @cached_property
     def n_docs(self) -> int:
-        return self.docs.count()
+        return self._counts["n_docs"] if "n_docs" in self._counts else self.docs.count()
 
     @cached_property
     def average_length(self) -> float:
+        if "n_tokens" in self._counts:
+            return self._counts["n_tokens"] / self.n_docs if self.n_docs else 0.0
         n = self.postings.agg(F.sum("fdt")).first()[0] or 0
         return n / self.n_docs if self.n_docs else 0.0
 
     def term_stats(self, postings: DataFrame | None = None) -> DataFrame:
         """(term, ft: documents, cf: occurrences, maxfdt: most in one document)."""
+        if postings is None and self._terms is not None:
+            return self._terms
         p = self.postings if postings is None else postings
         per = p.groupBy("term", "key").agg(F.sum("fdt").alias("fdt"))
         return per.groupBy("term").agg(F.count("*").alias("ft"), F.sum("fdt").alias("cf"), F.max("fdt").alias("maxfdt"))
@@ -172,34 +183,45 @@ class Index:
             keys = self.spark.createDataFrame([(k,) for k in keys], f"{self.key} {dict(self.docs.dtypes)[self.key]}")
         gone = keys.select(F.col(keys.columns[0]).alias("_gone"))
         docs = self.docs.join(gone, F.col(self.key) == F.col("_gone"), "left_anti")
-        posts = self.postings.join(gone, F.col("key") == F.col("_gone"), "left_anti")
+        posts = self.bare_postings.join(gone, F.col("key") == F.col("_gone"), "left_anti")
         return Index(docs, list(self.fields.values()), self.key, posts, self.weighting)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> Index:
         """With rows added; a key that is there already is replaced."""
         new = Index.build(rows, self.key, list(self.fields.values()), order)
         old = self.delete(new.docs.select(self.key))
-        return Index(old.docs.unionByName(new.docs), list(self.fields.values()), self.key, old.postings.unionByName(new.postings), self.weighting)
+        return Index(old.docs.unionByName(new.docs), list(self.fields.values()), self.key, old.bare_postings.unionByName(new.bare_postings), self.weighting)
 
     def merge(self, partitions: int = 1) -> Index:
         """The same index in fewer partitions."""
-        return Index(self.docs.repartition(partitions, self.key), list(self.fields.values()), self.key, self.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "key"), self.weighting)
+        return Index(self.docs.repartition(partitions, self.key), list(self.fields.values()), self.key, self.bare_postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "key"), self.weighting)
 
     def purge(self) -> Index:
-        return Index(self.docs.limit(0), list(self.fields.values()), self.key, self.postings.limit(0), self.weighting)
+        return Index(self.docs.limit(0), list(self.fields.values()), self.key, self.bare_postings.limit(0), self.weighting)
 
     def add_terms(self, counted: DataFrame) -> Index:
         """With pre-tokenised (key, field, term, count) rows, which have no positions."""
         extra = counted.select("key", F.lower("field").alias("field"), F.lower("term").alias("term"), F.col("term").alias("cased"), F.col("count").cast("bigint").alias("fdt"), F.array().cast("array<int>").alias("positions"))
-        return Index(self.docs, list(self.fields.values()), self.key, self.postings.unionByName(extra), self.weighting)
+        return Index(self.docs, list(self.fields.values()), self.key, self.bare_postings.unionByName(extra), self.weighting)
 
     def save(self, path: str, mode: str = "error") -> None:
+        """Writes docs, postings, terms and lengths. Postings are clustered by term and
+        carry their document's vector length and tokens, so that a query reads nothing but
+        its terms' row groups."""
         self.docs.write.mode(mode).parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "key").write.mode(mode).parquet(f"{path}/postings")
-        saved = Index(self.docs, list(self.fields.values()), self.key, self.spark.read.parquet(f"{path}/postings"), self.weighting)
-        saved.doc_lengths().write.mode(mode).parquet(f"{path}/lengths")
-        meta = {"key": self.key, "fields": [asdict(f) for f in self.fields.values()], "weighting": self.weighting.name}
+        bare = self.bare_postings
+        bare.write.mode(mode).parquet(f"{path}/unsorted")
+        first = Index(self.docs, list(self.fields.values()), self.key, self.spark.read.schema(bare.schema).parquet(f"{path}/unsorted"), self.weighting, counts={"n_docs": self.n_docs})
+        first.term_stats().repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+        first._terms = self.spark.read.parquet(f"{path}/terms")
+        first.doc_lengths().write.mode(mode).parquet(f"{path}/lengths")
+        lengths = self.spark.read.parquet(f"{path}/lengths")
+        full = first.postings.join(lengths, "key").select(*bare.columns, "dvl", "ld")
+        full.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode(mode).parquet(f"{path}/postings")
+        tokens = lengths.agg(F.sum("ld")).first()[0] or 0
+        meta = {"key": self.key, "fields": [asdict(f) for f in self.fields.values()], "weighting": self.weighting.name, "counts": {"n_docs": self.n_docs, "n_tokens": int(tokens)}}
         self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
+        self.spark.createDataFrame([], bare.schema).write.mode("overwrite").parquet(f"{path}/unsorted")
 
     @staticmethod
     def load(spark, path: str) -> Index:
@@ -207,7 +229,7 @@ class Index:
 
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return Index(read("docs"), [FieldSpec(**f) for f in meta["fields"]], meta["key"], read("postings"), by_name(meta["weighting"]), read("lengths"))
+        return Index(read("docs"), [FieldSpec(**f) for f in meta["fields"]], meta["key"], read("postings"), by_name(meta["weighting"]), read("lengths"), read("terms"), meta["counts"])
 
     # ---- queries
 

@@ -8,6 +8,7 @@ saved field, a complement or the whole collection is asked for.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -29,6 +30,7 @@ class Leaf:
 
     takes: Column
     weight: float | None
+    coarse: Column  # on the folded term alone: what a scan clustered by term can skip by
 
 
 @dataclass
@@ -56,8 +58,8 @@ class Compiler:
 
     # ---- leaves
 
-    def takes(self, term: A.Term, fields) -> Column:
-        """The postings of a term and its variants."""
+    def takes(self, term: A.Term, fields) -> tuple[Column, Column]:
+        """(the postings of a term and its variants, a wider condition on `term` alone)."""
         word = term.text
         mixed = word != word.lower() and word != word.upper()
         cased = term.case or mixed
@@ -65,10 +67,15 @@ class Compiler:
         fold = (lambda x: x) if cased else str.lower
         if T.is_wildcard(word):
             ok = c.rlike(T.wildcard(fold(word)))
+            coarse = F.col("term").rlike(T.wildcard(word.lower()))
+            head = re.split(r"[*?]", word.lower())[0]
+            if head:
+                coarse = F.col("term").startswith(head) & coarse
         elif term.stem:
             stem = porter(word)
             same = F.pandas_udf(lambda s: s.map(lambda x: porter(x) == stem), "boolean")
-            ok = F.col("term").startswith(stem[: max(1, min(3, len(stem)))]) & same(F.col("term"))
+            coarse = F.col("term").startswith(stem[: max(1, min(3, len(stem) - 1))])
+            ok = coarse & same(F.col("term"))
         else:
             words = [word]
             if term.morph and not term.exact:
@@ -77,12 +84,17 @@ class Compiler:
                 words += self.taxonomy.subsumed(word)
             words = sorted({fold(w) for w in words})
             ok = c.isin(*words)
+            coarse = F.col("term").isin(*sorted({w.lower() for w in words}))
         if fields:
             ok = ok & F.col("field").isin(*fields)
-        return ok
+        return ok, coarse
 
-    def leaf(self, takes: Column, weight=None) -> int:
-        self.leaves.append(Leaf(takes, weight))
+    def one_of(self, terms, fields) -> tuple[Column, Column]:
+        pairs = [self.takes(p, fields) for p in terms]
+        return _any([a for a, _ in pairs]), _any([b for _, b in pairs])
+
+    def leaf(self, takes: tuple[Column, Column], weight=None) -> int:
+        self.leaves.append(Leaf(takes[0], weight, takes[1]))
         return len(self.leaves) - 1
 
     # ---- nodes
@@ -96,10 +108,7 @@ class Compiler:
             return self.node(n.part, n.names)
         if isinstance(n, (A.Term, A.TermOr)):
             parts = n.parts if isinstance(n, A.TermOr) else (n,)
-            takes = self.takes(parts[0], fields)
-            for p in parts[1:]:
-                takes = takes | self.takes(p, fields)
-            k = self.leaf(takes, parts[0].weight)
+            k = self.leaf(self.one_of(parts, fields), parts[0].weight)
             c = F.col(f"l{k}")
             return Out(c.isNotNull(), F.coalesce(c, F.lit(0.0)), [k], False)
         if isinstance(n, (A.And, A.Or)):
@@ -153,12 +162,10 @@ class Compiler:
         others = [p for p in n.parts if not isinstance(p, (A.Term, A.TermOr))]
         slots = []
         for t in terms:
-            takes = [self.takes(p, fields) for p in (t.parts if isinstance(t, A.TermOr) else (t,))]
-            ok = takes[0]
-            for x in takes[1:]:
-                ok = ok | x
-            slots.append(ok)
-        self.windows.append((n, slots, tuple(fields)))
+            slots.append(self.one_of(t.parts if isinstance(t, A.TermOr) else (t,), fields))
+        if not slots:
+            raise QueryError(f"{n.kind} needs terms")
+        self.windows.append((n, [s for s, _ in slots], [c for _, c in slots]))
         k = len(self.windows) - 1
         pen = F.col(f"w{k}")
         ok = pen.isNotNull()
@@ -181,24 +188,25 @@ class Compiler:
         index, w = self.index, self.index.weighting
         base = None
         if self.leaves or self.windows:
-            every = None
-            for x in [*[f.takes for f in self.leaves], *[s for _, slots, _ in self.windows for s in slots]]:
-                every = x if every is None else every | x
-            hits = index.postings.filter(every)
+            exact = [*[f.takes for f in self.leaves], *[s for _, slots, _ in self.windows for s in slots]]
+            coarse = _any([*[f.coarse for f in self.leaves], *[c for _, _, cs in self.windows for c in cs]])
+            hits = index.postings.filter(coarse).filter(_any(exact))
+            stored = "dvl" in index.postings.columns
         if self.leaves:
-            per = hits.groupBy("key", "term").agg(*[F.sum(F.when(f.takes, F.col("fdt"))).alias(f"f{k}") for k, f in enumerate(self.leaves)], F.sum("fdt").alias("fdt"))
-            idf = hits.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("ft"))
+            kept = [F.max(c).alias(c) for c in ("dvl", "ld")] if stored else []
+            per = hits.groupBy("key", "term").agg(*[F.sum(F.when(f.takes, F.col("fdt"))).alias(f"f{k}") for k, f in enumerate(self.leaves)], *kept)
+            if index._terms is not None:
+                idf = index._terms.filter(coarse).select("term", "ft")
+            else:
+                idf = hits.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("ft"))
             idf = idf.select("term", w.idf(F.lit(index.n_docs), F.col("ft")).alias("idf"))
             per = per.join(idf, "term")
-            avg = 1.0
-            if w.uses_length:
-                avg = index.average_length
-                per = per.join(index.doc_lengths().select("key", "ld"), "key")
-            else:
-                per = per.withColumn("ld", F.lit(None).cast("bigint"))
+            avg = index.average_length if w.uses_length else 1.0
+            if not stored:
+                per = per.join(index.doc_lengths().select("key", "ld"), "key") if w.uses_length else per.withColumn("ld", F.lit(None).cast("bigint"))
             q = lambda f: F.lit(f.weight) if f.weight is not None else F.col("idf")
             cols = [F.sum(w.weight(F.col("idf"), F.col(f"f{k}"), F.col("ld"), F.lit(avg)) * q(f)).alias(f"l{k}") for k, f in enumerate(self.leaves)]
-            base = per.groupBy("key").agg(*cols)
+            base = per.groupBy("key").agg(*cols, *([F.max("dvl").alias("dvl")] if stored else []))
             if root.leaves and not root.normal:
                 # each term once per leaf that takes it
                 seen = hits.groupBy("term").agg(*[F.max(F.when(self.leaves[k].takes, 1).otherwise(0)).alias(f"t{k}") for k in root.leaves]).join(idf, "term")
@@ -344,8 +352,9 @@ def run(index, tree: A.Node, knowledge=None, taxonomy=None, boost: bool = True)
     if root.filters:
         score = F.lit(1.0)
     elif not root.normal:
-        dvl = index.doc_lengths().select("key", "dvl")
-        out = out.join(dvl, "key", "left").join(F.broadcast(comp.norm))
+        if "dvl" not in out.columns:
+            out = out.join(index.doc_lengths().select("key", "dvl"), "key", "left")
+        out = out.join(F.broadcast(comp.norm))
         norm = F.sqrt(F.when(F.col("_sqw") > 0, F.col("_sqw")).otherwise(1.0))
         score = score / (F.when(F.coalesce(F.col("dvl"), F.lit(0.0)) > 0, F.col("dvl")).otherwise(1.0) * norm)
     return out.select("key", score.cast("double").alias("score"))
