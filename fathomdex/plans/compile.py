@@ -194,7 +194,8 @@ class Compiler:
             stored = "dvl" in index.postings.columns
         if self.leaves:
             kept = [F.max(c).alias(c) for c in ("dvl", "ld")] if stored else []
-            per = hits.groupBy("key", "term").agg(*[F.sum(F.when(f.takes, F.col("fdt"))).alias(f"f{k}") for k, f in enumerate(self.leaves)], *kept)
+            # dealt by document once: that serves both aggregations
+            per = hits.repartition("key").groupBy("key", "term").agg(*[F.sum(F.when(f.takes, F.col("fdt"))).alias(f"f{k}") for k, f in enumerate(self.leaves)], *kept)
             if index._terms is not None:
                 idf = index._terms.filter(coarse).select("term", "ft")
             else:
