@@ -82,6 +82,14 @@ class ResultSet:
         rows = rows.filter(F.array_contains(field, value)).select("key", at.alias("score"))
         return rows.orderBy(F.col("score").desc(), "key").limit(n)
 
+    def observed(self, name: str = "results"):
+        """(the same results, an observation of their number and best score, filled when
+        an action has run over them)."""
+        from pyspark.sql import Observation
+
+        seen = Observation(name)
+        return self._like(self.df.observe(seen, F.count(F.lit(1)).alias("size"), F.max("score").alias("best"))), seen
+
     # ---- algebra
 
     def weight(self, w: float) -> ResultSet:

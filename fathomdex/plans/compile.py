@@ -45,11 +45,16 @@ class Out:
 
 
 class Compiler:
-    def __init__(self, index, knowledge=None, taxonomy=None, boost: bool = True):
+    def __init__(self, index, knowledge=None, taxonomy=None, boost: bool = True, multipliers: dict[str, float] | None = None):
         self.index = index
         self.knowledge = knowledge or Morphology()
         self.taxonomy = taxonomy
         self.boost = boost
+        # occurrences in these fields count so many times
+        self.fdt = F.col("fdt")
+        if multipliers:
+            times = F.create_map(*[F.lit(x) for k, v in sorted(multipliers.items()) for x in (k.lower(), float(v))])
+            self.fdt = F.col("fdt") * F.coalesce(F.try_element_at(times, F.col("field")), F.lit(1.0))
         self.leaves: list[Leaf] = []
         self.windows: list[tuple[A.Window, list[Column], tuple]] = []
         self.similars: list[tuple[str, str]] = []
@@ -195,7 +200,7 @@ class Compiler:
         if self.leaves:
             kept = [F.max(c).alias(c) for c in ("dvl", "ld")] if stored else []
             # dealt by document once: that serves both aggregations
-            per = hits.repartition("key").groupBy("key", "term").agg(*[F.sum(F.when(f.takes, F.col("fdt"))).alias(f"f{k}") for k, f in enumerate(self.leaves)], *kept)
+            per = hits.repartition("key").groupBy("key", "term").agg(*[F.sum(F.when(f.takes, self.fdt)).alias(f"f{k}") for k, f in enumerate(self.leaves)], *kept)
             if index._terms is not None:
                 idf = index._terms.filter(coarse).select("term", "ft")
             else:
@@ -342,10 +347,16 @@ def _penalty_udf(size: int, ordered: bool, missing: int):
     return F.pandas_udf(run, "double")
 
 
-def run(index, tree: A.Node, knowledge=None, taxonomy=None, boost: bool = True) -> DataFrame:
-    """(key, score) of the documents that match. Unscored queries give everyone 1."""
+def run(index, tree: A.Node, knowledge=None, taxonomy=None, boost: bool = True, fields=(), multipliers: dict[str, float] | None = None) -> DataFrame:
+    """(key, score) of the documents that match. Unscored queries give everyone 1.
+
+    knowledge gives terms' inflections, taxonomy the terms below one; boost adds term
+    weights to perfect windows; fields are those of parts that name none; multipliers
+    make occurrences in a field count more."""
+    if fields:
+        tree = A.Fields(tuple(f.lower() for f in fields), tree)
     tree = optimized(tree, index)
-    comp = Compiler(index, knowledge, taxonomy, boost)
+    comp = Compiler(index, knowledge, taxonomy, boost, multipliers)
     root = comp.node(tree)
     base = comp.frame(root)
     out = base.filter(root.matches)

@@ -69,9 +69,15 @@ def docs_index(spark, d, weighting=None) -> Index:
     return _kept_index(spark, d, f"docs-{weighting.name if weighting else ''}", build)
 
 
+def _with_words(part: DataFrame) -> DataFrame:
+    """part with the words of its name, and a score of each in a parallel field."""
+    part = part.withColumn("words", F.split("p_name", " "))
+    return part.withColumn("word_scores", F.transform("words", lambda w: F.length(w) / 100.0 + F.col("p_size") / 1000.0))
+
+
 def parts_index(spark, d) -> Index:
     def build():
-        rows = table(spark, d, "part").withColumn("words", F.split("p_name", " "))
+        rows = _with_words(table(spark, d, "part"))
         fields = [
             FieldSpec("p_name", "string", indexed=True, tokenized=True, vectored=True, saved=True),
             FieldSpec("p_type", "string", indexed=True, tokenized=True, vectored=True, saved=True),
@@ -79,6 +85,7 @@ def parts_index(spark, d) -> Index:
             FieldSpec("p_size", "integer", saved=True),
             FieldSpec("p_retailprice", "float", saved=True),
             FieldSpec("words", "string", saved=True, multiple=True),
+            FieldSpec("word_scores", "float", saved=True, multiple=True),
         ]
         return Index.build(rows, "p_partkey", fields, unique=True)
 
@@ -815,8 +822,8 @@ def _(spark, d):
 @query("upsert_docs", "SELECT p_partkey AS key FROM part WHERE (p_partkey <= 20 AND 99 = 99) OR (p_partkey > 20 AND p_size = 99)")
 def _(spark, d):
     ix = parts_index(spark, d)
-    new = table(spark, d, "part").filter("p_partkey <= 20").withColumn("p_size", F.lit(99)).withColumn("words", F.split("p_name", " "))
-    return keys(ix.upsert(new).search("p_size = 99"))
+    new = table(spark, d, "part").filter("p_partkey <= 20").withColumn("p_size", F.lit(99))
+    return keys(ix.upsert(_with_words(new)).search("p_size = 99"))
 
 
 @query("merge_invariant", _ranked("'the', 'and'", "len(ts) = 2"))
@@ -842,3 +849,102 @@ def _(spark, d):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     index_stream(stream, store, f"{where}/checkpoint", "ts").awaitTermination()
     return store.read().select("user_id", "ts")
+
+
+# ---- the rest of the surface
+
+
+@query("term_lookup", f"WITH {_TOK} SELECT term, ft::BIGINT AS ft, cf::BIGINT AS cf, maxfdt::BIGINT AS maxfdt FROM ts WHERE term = 'the'")
+def _(spark, d):
+    return docs_index(spark, d).term_stats().filter(F.col("term") == "the")
+
+
+@query("docs_by_key", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (1, 2, 3)")
+def _(spark, d):
+    return parts_index(spark, d).documents([1, 2, 3, -5]).select("p_partkey", "p_name")
+
+
+@query("all_values", "SELECT unnest(string_split(p_name, ' ')) AS value FROM part WHERE p_partkey = 5")
+def _(spark, d):
+    return L.all_values(parts_index(spark, d), "words", 5)
+
+
+@query("n_docs", "SELECT count(*)::BIGINT AS n FROM documents")
+def _(spark, d):
+    return docs_index(spark, d).docs.agg(F.count("*").alias("n"))
+
+
+@query("default_fields", r"""SELECT p_partkey AS key FROM part WHERE len(list_filter(string_split_regex(lower(p_type), '[^\p{L}\p{N}]+'), lambda x: x IN ('small', 'large'))) > 0""")
+def _(spark, d):
+    return keys(parts_index(spark, d).search("<exact> small <or> <exact> large", fields=["p_type"]))
+
+
+@query(
+    "field_multiplier",
+    f"WITH {_PTOK}, t AS (SELECT 'small' AS term), f AS (SELECT key, sum(fdt * CASE field WHEN 'p_type' THEN 2.0 ELSE 1.0 END) AS fdt FROM pf JOIN t USING (term) GROUP BY key), pd AS (SELECT key, sqrt(sum(w * w)) AS dvl FROM (SELECT key, idf * (1 + ln(sum(fdt))) AS w FROM pf JOIN pi USING (term) GROUP BY key, term, idf) GROUP BY key) SELECT f.key, round(idf * (1 + ln(f.fdt)) * idf / (dvl * idf), 6) AS score FROM f JOIN pd ON pd.key = f.key, pi WHERE pi.term = 'small'",
+)
+def _(spark, d):
+    return scored(parts_index(spark, d).search(A.Term("small"), multipliers={"p_type": 2.0}))
+
+
+@query("top_scored_field", "WITH x AS (SELECT p_partkey AS key, max(length(w) / 100.0 + p_size / 1000.0) AS score FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w = (SELECT min(w) FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)) GROUP BY 1) SELECT key, round(score::DOUBLE, 6) AS score FROM x ORDER BY score DESC, key LIMIT 9")
+def _(spark, d):
+    ix = parts_index(spark, d)
+    word = ix.docs.select(F.explode("words").alias("w")).agg(F.min("w")).first()[0]
+    out = ix.search("*").top_by_scored_field("words", "word_scores", word, 9)
+    return out.select("key", F.round("score", 6).alias("score"))
+
+
+@query("group_scored_field", "SELECT w AS value, count(*)::BIGINT AS size, round(avg(1 - (length(w) / 100.0 + p_size / 1000.0))::DOUBLE, 5) AS mean_distance FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
+def _(spark, d):
+    out = parts_index(spark, d).search("*").group_by_scored("words", "word_scores")
+    return out.select("value", "size", F.round("mean_distance", 5).alias("mean_distance"))
+
+
+@query("mime_text", r"SELECT page_id, trim(regexp_replace(regexp_replace('<a>x ' || page_id || '</a><b>y</b>', '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def _(spark, d):
+    xml = F.concat(F.lit("<a>x "), F.col("page_id").cast("string"), F.lit("</a><b>y</b>"))
+    return table(spark, d, "pages").select("page_id", markup.by_mime(xml, F.lit("text/xml; charset=utf-8")).alias("text"))
+
+
+@query("purge", "SELECT doc_id AS key FROM documents WHERE false")
+def _(spark, d):
+    return keys(docs_index(spark, d).purge().search("*"))
+
+
+@query(
+    "class_similarity",
+    f"WITH {_TOK}, {_UNIT}, a AS (SELECT term, sum(u) / 3 AS x FROM unit WHERE key IN (1, 6, 7) GROUP BY term), b AS (SELECT term, sum(u) / 2 AS y FROM unit WHERE key IN (9, 10) GROUP BY term) SELECT round(coalesce(sum(x * y), 0), 6) AS similarity FROM a JOIN b USING (term)",
+)
+def _(spark, d):
+    ix = docs_index(spark, d)
+    return C.class_similarity(V.mean_vector(ix, [1, 6, 7]), V.mean_vector(ix, [9, 10])).select(F.round("similarity", 6).alias("similarity"))
+
+
+@query("feature_algebra", f"WITH {_TOK}, {_UNIT}, a AS (SELECT term, u FROM unit WHERE key = 1), b AS (SELECT term, u FROM unit WHERE key = 6) SELECT term, round(x, 6) AS weight FROM (SELECT coalesce(a.term, b.term) AS term, coalesce(a.u, 0) - coalesce(b.u, 0) AS x FROM a FULL JOIN b ON a.term = b.term) WHERE x > 0")
+def _(spark, d):
+    ix = docs_index(spark, d)
+    return C.subtract(V.vector_of(ix, 1), V.vector_of(ix, 6)).select("term", F.round("weight", 6).alias("weight"))
+
+
+@query("two_thirds_split")
+def _(spark, d):
+    return C.two_thirds(table(spark, d, "labels").select(F.col("doc_id").alias("key")))
+
+
+@query("explain_score")
+def _(spark, d):
+    ix = docs_index(spark, d)
+    model = C.RocchioModel("toxic", C.rocchio(ix, _toxic(spark, d)), 0.0)
+    return model.explain(ix, 28)
+
+
+@query("query_zone")
+def _(spark, d):
+    ix = docs_index(spark, d)
+    return C.query_zone(ix, C.rocchio(ix, _toxic(spark, d)), _toxic(spark, d), 50)
+
+
+@query("export_xml")
+def _(spark, d):
+    return ingest.xml_rows(parts_index(spark, d))

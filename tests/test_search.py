@@ -278,3 +278,19 @@ def test_streaming_upsert(spark, tmp_path):
     got = {r["key"]: r["t"] for r in store.read().collect()}
     assert got == {1: 9, 2: 1} and len(told) >= 2
     assert {r["key"]: r["v"] for r in latest_per_key(rows, "key", "t").collect()} == {1: "c", 2: "b"}
+
+
+def test_field_options(index, docs):
+    """Default fields restrict what names none; multipliers raise a field's occurrences."""
+    assert found(index, "<exact> java", fields=["body"]) == {k for k, _, b, *_ in docs if "java" in b.split()}
+    plain = {r["key"]: r["score"] for r in index.search(A.Term("java")).df.collect()}
+    more = {r["key"]: r["score"] for r in index.search(A.Term("java"), multipliers={"body": 3.0}).df.collect()}
+    bodies = {k for k, _, b, *_ in docs if "java" in b.split()}
+    assert plain.keys() == more.keys()
+    assert all((more[k] > plain[k]) == (k in bodies) for k in plain)
+
+
+def test_observed_results(index):
+    rs, seen = index.search("<exact> java").observed()
+    n = rs.df.count()
+    assert seen.get["size"] == n and seen.get["best"] > 0
