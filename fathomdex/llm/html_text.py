@@ -43,8 +43,10 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist disqus reply replies respond sidebar related recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar copyright legal widget widgets toolbar pager pagination login search hidden skip disclaimer".split()
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist disqus reply replies respond sidebar related recommended recommendations menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar copyright legal widget widgets toolbar pager pagination login search hidden skip disclaimer adsbygoogle".split()
 )
+#: Names of elements around a whole page, whose other names say what it has, not what it is.
+WRAPPER_NAMES = frozenset("page wrapper wrap container layout with has no site root app outer".split())
 CONTENT_NAMES = frozenset("article content post entry main story body text prose".split())
 
 #: Weights of the classifier.
@@ -97,8 +99,6 @@ def blocks(html: str) -> list[_Block]:
             held.clear()
             if text:
                 e = here
-                while e.tag in INLINE and e.parent:
-                    e = e.parent
                 out.append(_Block(text, e, min(links, len(text)), bool(heading)))
                 while e:
                     e.chars += len(text)
@@ -128,6 +128,14 @@ def blocks(html: str) -> list[_Block]:
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
+            if closing and here.tag == tag:  # an inline element that was opened as a block
+                end_block()
+                here = here.parent
+            elif not closing and ("class" in m[4] or "id" in m[4]):
+                e = _Element(tag, here, m[4])
+                if e.names & BOILER_NAMES:
+                    end_block()
+                    here = e
             continue
         if tag == "br" or tag in VOID:
             held.append(" ")
@@ -192,7 +200,8 @@ def _around(e: _Element, total: int) -> tuple[float, _Element]:
 
 def _mark(e: _Element, total: int) -> tuple[float, _Element]:
     own = 0.0
-    wrapper = e.chars * 2 > total and e.heading  # holds most of the page and its title
+    # holds most of the page, and its title or a name that says so
+    wrapper = e.chars * 2 > total and (e.heading or bool(e.names & WRAPPER_NAMES))
     if e.tag in BOILER_TAGS:
         own += BOILER
     if e.role in BOILER_ROLES:

@@ -194,6 +194,10 @@ def test_html_structures():
     assert html_text.main_text(page) == "Title é First & para boldness of text. Second para Short."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<div") == ""
     assert html_text.main_text("<p>a plain page of some words &lt;here&#39;s one&gt;</p>") == "a plain page of some words <here's one>"
+    words = "<p>some words of an article that are long enough to be one, as it seems.</p>"
+    text = "some words of an article that are long enough to be one, as it seems."
+    assert html_text.main_text(f'<article>{words}<ins class="adsbygoogle">Ad ad</ins>{words}</article>') == f"{text} {text}"
+    assert html_text.main_text(f'<div class="page-wrapper with-sidebar"><div class="header">Site</div><div class="post"><h2>T</h2>{words}</div><div class="widget">W</div></div>') == f"T {text}"
     deep = "<div>" * 3000 + "some words in a very deep place of the page" + "</div>" * 3000
     assert html_text.main_text(deep) == "some words in a very deep place of the page"
 
