@@ -64,5 +64,6 @@ def word_count(text: Column) -> Column:
 
 
 def only_columns(df: DataFrame, names) -> DataFrame:
-    """The named columns alone, so that extra columns of any name cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """The named columns alone, so that extra columns of any name cannot clash; ids of
+    any integer type as long."""
+    return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if n.endswith("_id") else F.col(f"`{n}`") for n in names])

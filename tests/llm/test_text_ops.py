@@ -316,3 +316,9 @@ def test_tone_and_silence():
     tensor, true, seg = media.features(wav)
     assert len(seg) == 1 and abs(seg[0][0] - 0.5) < 0.1 and abs(seg[0][1] - 1.5) < 0.1
     assert media.from_wav(wav)[0] == media.RATE
+
+
+def test_ids_of_a_smaller_integer_type(spark):
+    df = frame(spark, ["a b", "c"]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert token_counts.count_tokens(df, PIECES).count() == 2
+    assert packing.pack_documents(df, BPE).count() == 2
