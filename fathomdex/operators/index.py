@@ -69,10 +69,11 @@ def postings_of(docs: DataFrame, key: str, fields: Sequence[FieldSpec]) -> DataF
             continue
         text = F.array_join(F.col(f.name), " ") if f.multiple else F.col(f.name).cast("string")
         toks = T.cased_tokens(text) if f.tokenized else F.array(F.trim(text))
-        parts.append(docs.select(F.col(key).alias("key"), F.lit(f.name).alias("field"), F.posexplode(toks).alias("pos", "cased")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        parts.append(F.struct(F.lit(f.name).alias("field"), toks.alias("toks")))
+    # documents are dealt by key before they become postings: their texts are smaller, and
+    # a document's postings are then grouped where they are
+    rows = docs.repartition(F.col(key)).select(F.col(key).alias("key"), F.explode(F.array(*parts)).alias("f"))
+    out = rows.select("key", F.col("f.field").alias("field"), F.posexplode("f.toks").alias("pos", "cased"))
     out = out.filter("cased is not null").withColumn("term", F.lower("cased"))
     return out.groupBy("key", "field", "term", "cased").agg(F.count("*").alias("fdt"), F.sort_array(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions"))
 
