@@ -41,7 +41,7 @@ SEGMENT = 512
 LEVEL = 9
 #: Bounds of the samples, per class: segments, and documents they are cut from, for the
 #: dictionaries; documents for cut and curve.
-SEGMENTS_PER_CLASS = 10_000
+SEGMENTS_PER_CLASS = 6_000
 DICTIONARY_DOCUMENTS = 4_000
 DOCUMENTS_PER_CLASS = 2_000
 ORDINARY_BYTES = 4_096
@@ -80,9 +80,9 @@ def windows(text: bytes, size: int) -> list[bytes]:
     return out
 
 
-def _contexts(segments: list[bytes]) -> tuple[dict[bytes, int], int]:
+def _contexts(segments: list[bytes], only=None) -> tuple[dict[bytes, int], int]:
     """In how many distinct contexts (word before, the word) each word or beginning of a
-    word occurs."""
+    word occurs; of beginnings, those in `only` if given."""
     counts: dict[bytes, int] = defaultdict(int)
     every = set()
     for s in segments:
@@ -93,7 +93,8 @@ def _contexts(segments: list[bytes]) -> tuple[dict[bytes, int], int]:
                 continue
             every.add(at)
             for n in range(3, min(len(w), 12)):
-                counts[b" " + w[:n]] += 1
+                if only is None or b" " + w[:n] in only:
+                    counts[b" " + w[:n]] += 1
             if len(w) > 2:
                 counts[b" " + w + b" "] += 1
     return counts, len(every)
@@ -102,11 +103,12 @@ def _contexts(segments: list[bytes]) -> tuple[dict[bytes, int], int]:
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) raw dictionary contents."""
     t, nt = _contexts(toxic)
-    o, no = _contexts(ordinary)
+    t = {k: a for k, a in t.items() if a >= MIN_CONTEXTS}
+    o, no = _contexts(ordinary, t)
     score = {}
     for k, a in t.items():
         ratio = (a / nt) / ((o.get(k, 0) + 0.5) / no)
-        if a >= MIN_CONTEXTS and ratio >= MIN_RATIO:
+        if ratio >= MIN_RATIO:
             score[k] = a * np.log(ratio)
     # one form of each word or beginning: the longest that tells nearly as much
     heads: list[bytes] = []
