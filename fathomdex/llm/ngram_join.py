@@ -50,7 +50,7 @@ BLOCK = 1024
 GROUP_DOCS = 256
 BROADCAST_ROUTES = 500_000
 #: Bits of a parity bitmap: the power of two from BITS_EACH a shingle on, within bounds.
-BITS_EACH, BITS_LEAST, BITS_MOST = 4, 64, 1 << 14
+BITS_EACH, BITS_LEAST, BITS_MOST = 2, 64, 1 << 13
 
 _U64 = np.uint64
 
@@ -307,11 +307,17 @@ def bucket_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.groupBy("bucket").applyInArrow(run, PAIRS)
 
 
-def rest_pairs(found: DataFrame, classes: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(u, v) of the members of long lists that are in different components so far and
-    pass all filters; with forest, in each task only so many as connect the same.
-    Lists whose members are all in one go first; the others' members are dealt into
-    blocks, and each pair of blocks is a task of its own."""
+def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """df's rows whose column is among ids (one column, distinct); up to a checked number
+    ids are broadcast, so that df itself is not shuffled."""
+    ids = ids.toDF("_id")
+    few = ids.count() <= BROADCAST_ROUTES
+    return df.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_id"), "left_semi")
+
+
+def long_lists(found: DataFrame, classes: DataFrame):
+    """(members, bitmaps): (list, rep, size, pos) of the long lists, and (rep, bits) of
+    the classes that are in one."""
 
     def read(batches):
         for b in batches:
@@ -319,13 +325,22 @@ def rest_pairs(found: DataFrame, classes: DataFrame, comp: DataFrame, percent: i
                 row = np.frombuffer(raw, _MEMBER)
                 yield pa.record_batch([pa.array([x] * len(row), pa.int64()), pa.array(_sig_bytes(row["a"], row["b"]), pa.binary()), pa.array(row["size"].astype(np.int32)), pa.array(row["pos"].astype(np.int32))], names=["list", "sig", "size", "pos"])
 
-    rows = found.filter("list is not null").select("list", "members").mapInArrow(read, "list long, sig binary, size int, pos int")
-    known = classes.select("sig", "rep", "bits").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "bits", F.coalesce("component", "rep").alias("component"))
-    rows = staged(rows.join(known, "sig").drop("sig"), "join-lists")
+    rows = staged(found.filter("list is not null").select("list", "members").mapInArrow(read, "list long, sig binary, size int, pos int"), "join-lists")
+    known = staged(_only(classes.select("sig", "rep", "bits"), "sig", rows.select("sig").distinct()), "join-list-classes")
+    return staged(rows.join(known.select("sig", "rep"), "sig").drop("sig"), "join-list-members"), known.select("rep", "bits")
+
+
+def rest_pairs(members: DataFrame, bitmaps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(u, v) of the members of long lists that are in different components so far and
+    pass all filters; with forest, in each task only so many as connect the same.
+    Lists whose members are all in one go first; the others' members are dealt into
+    blocks, and each pair of blocks is a task of its own."""
+    rows = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = staged(rows, "join-lists")
     mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").drop("lo", "hi")
     rows = rows.join(mixed, "list").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "rep", "component", "size", "pos", "bits")
+    rows = rows.select("list", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "rep", "component", "size", "pos").join(bitmaps, "rep")
 
     def run(t: pa.Table) -> pa.Table:
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
@@ -393,14 +408,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (u, v) of pairs of doc_ids whose whole sets link. Pairs are dealt into groups:
-    by the documents that candidates connect, in blocks of bounded size."""
-    reach = components(pairs)
-    nodes = reach.unionByName(reach.select(F.col("component").alias("node"), "component").distinct())
-    slots = nodes.groupBy("component").agg(F.ceil(F.count("*") / GROUP_DOCS).alias("slots"))
-    lookup = nodes.join(slots, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("slot"))
-    p = pairs.join(lookup.withColumnRenamed("node", "u").withColumnRenamed("slot", "su"), "u")
-    p = p.join(lookup.select(F.col("node").alias("v"), F.col("slot").alias("sv")), "v")
+    """The (u, v) of pairs of doc_ids whose whole sets link. Pairs are dealt into groups
+    around the smallest document near them, groups of many documents into pairs of slots,
+    so that a document's text goes to few tasks and no task gets many texts."""
+    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("near"))
+    p = pairs.join(near, "u").join(near.select(F.col("u").alias("v"), F.col("near").alias("near_v")), "v")
+    p = staged(p.select("u", "v", F.least("near", "near_v").alias("component")), "pair-near")
+    slots = p.select("component", "u").unionByName(p.select("component", F.col("v").alias("u"))).distinct().groupBy("component").agg(F.ceil(F.count("*") / GROUP_DOCS).alias("slots"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.col("slots")).cast("int")
+    p = p.join(slots, "component").withColumn("su", slot("u")).withColumn("sv", slot("v"))
     p = staged(p.select("u", "v", "component", F.least("su", "sv").alias("p"), F.greatest("su", "sv").alias("q")), "pair-groups")
     route = p.select(F.col("u").alias("doc_id"), "component", "p", "q").unionByName(p.select(F.col("v").alias("doc_id"), "component", "p", "q")).distinct()
     route = staged(route, "pair-routes")
@@ -427,7 +444,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(u, v) whose bitmaps allow enough members in common."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    ids = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+    known = staged(_only(classes.select("rep", "n", "bits"), "rep", ids), "join-pair-classes")
+    side = lambda x: known.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
     p = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_n", "v_n", "u_bits", "v_bits")
 
     def run(batches):
@@ -457,14 +476,16 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT):
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("rep").alias(f"{x}_rep"))
     p = found.filter("list is null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     p = p.filter("a_rep <> b_rep").select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
-    tested = staged(_suffix_filter(p, classes, percent), "join-pairs")
+    tested = staged(_suffix_filter(staged(p, "join-met"), classes, percent), "join-pairs")
     edges = staged(verified(docs, tested, k, percent), "join-links")
     if found.filter("list is not null").limit(1).count():
+        members, bitmaps = long_lists(found, classes)
         for forest in (True, False):
-            more = rest_pairs(found, classes, components(edges), percent, forest)
+            more = rest_pairs(members, bitmaps, components(edges), percent, forest)
             more = staged(more.join(tested, ["u", "v"], "left_anti"), "join-pairs")
-            edges = edges.unionByName(staged(verified(docs, more, k, percent), "join-links"))
-            tested = tested.unionByName(more)
+            if more.limit(1).count():
+                edges = edges.unionByName(staged(verified(docs, more, k, percent), "join-links"))
+                tested = tested.unionByName(more)
     return rows, classes, edges
 
 
