@@ -525,3 +525,24 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 def op6_ngram_join(spark, sf_dir) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y, k, nx.n AS nx, ny.n AS ny FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+reach(root, node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT root, y FROM reach JOIN links ON x = node),
+comp AS (SELECT root AS doc_id, min(node) AS component_id FROM reach GROUP BY root),
+copies AS (SELECT x AS doc_id, count(*) AS c FROM links WHERE k = nx AND k = ny GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.component_id, (1 + coalesce(c, 0))::BIGINT AS n_copies
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.doc_id = d.doc_id LEFT JOIN copies ON copies.doc_id = d.doc_id
+"""

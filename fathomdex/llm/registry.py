@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op5_chat": chat.OP5_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_chat": chat.OP5_SQL, "op6_ngram_join": ngram_join.OP6_SQL}
