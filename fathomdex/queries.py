@@ -636,9 +636,12 @@ def _(spark, d):
     return P.passages(table(spark, d, "benchmark"), "item_id", "text", ["the"], 3, join=False).select("key", "start", "end", "passage")
 
 
-@query("highlight", r"SELECT item_id AS key, regexp_replace(text, '(?i)\b(the)\b', '<b>\1</b>', 'g') AS text FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7f]')")
+_MARK = r"""regexp_replace({}, '(^|[^\p{{L}}\p{{N}}\x01])((?i:the))($|[^\p{{L}}\p{{N}}])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"""
+
+
+@query("highlight", f"SELECT item_id AS key, replace(replace({_MARK.format(_MARK.format('text'))}, chr(1), '<b>'), chr(2), '</b>') AS text FROM benchmark")
 def _(spark, d):
-    return table(spark, d, "benchmark").filter(~F.col("text").rlike(r"[^\x00-\x7f]")).select(F.col("item_id").alias("key"), P.highlight("text", ["the"]).alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("key"), P.highlight("text", ["the"]).alias("text"))
 
 
 # ---- classification
