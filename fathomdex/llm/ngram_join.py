@@ -317,7 +317,9 @@ def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 def long_lists(found: DataFrame, classes: DataFrame):
     """(members, bitmaps): (list, rep, size, pos) of the long lists, and (rep, bits) of
-    the classes that are in one."""
+    the classes that are in one. Lists with the same smallest member become one list of
+    all their members (each at its least position), because groups of near copies share
+    many lists, and a pair should be looked at in few of them."""
 
     def read(batches):
         for b in batches:
@@ -327,7 +329,10 @@ def long_lists(found: DataFrame, classes: DataFrame):
 
     rows = staged(found.filter("list is not null").select("list", "members").mapInArrow(read, "list long, sig binary, size int, pos int"), "join-lists")
     known = staged(_only(classes.select("sig", "rep", "bits"), "sig", rows.select("sig").distinct()), "join-list-classes")
-    return staged(rows.join(known.select("sig", "rep"), "sig").drop("sig"), "join-list-members"), known.select("rep", "bits")
+    rows = staged(rows.join(known.select("sig", "rep"), "sig").drop("sig"), "join-list-members")
+    lead = rows.groupBy("list").agg(F.min("rep").alias("lead"))
+    rows = rows.join(lead, "list").groupBy("lead", "rep").agg(F.min("pos").alias("pos"), F.first("size").alias("size"))
+    return staged(rows.withColumnRenamed("lead", "list"), "join-list-groups"), known.select("rep", "bits")
 
 
 def rest_pairs(members: DataFrame, bitmaps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
