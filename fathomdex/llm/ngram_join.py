@@ -13,7 +13,9 @@ classes that share a prefix shingle, the pairs that pass all filters are found i
 task per pair of blocks of members, and only a spanning forest of them, over components
 known so far, goes on to be verified; in a second round all that are left between
 different components follow. So groups of near copies cost about their size, and
-components stay exact. Verification deals each candidate's text to the groups its pairs
+components stay exact. Where each document's links are counted, every pair of members of
+such a list is tried instead, in the one list that owns the pair, and its count added up
+in the task that finds it. Verification deals each candidate's text to the groups its pairs
 are in, groups of bounded size.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a text of
@@ -46,6 +48,9 @@ HELD_ROWS = 1_000_000
 #: Classes in a list that are all paired at once; members of a block of a longer one.
 LIST_MAX = 8
 BLOCK = 1024
+#: Members of a block, and their shingles, about, where links are counted.
+COUNT_BLOCK = 4096
+BLOCK_SHINGLES = 2_000_000
 #: Documents of one group of verification, and rows of its plan that may be broadcast.
 GROUP_DOCS = 256
 BROADCAST_ROUTES = 500_000
@@ -382,6 +387,70 @@ def rest_pairs(members: DataFrame, bitmaps: DataFrame, comp: DataFrame, percent:
     return rows.groupBy("list", "p", "q").applyInArrow(run, "u long, v long").distinct()
 
 
+def counted_links(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Over all pairs of members of long lists: (rep, links) rows, the documents of other
+    sets that a class links with, to be summed; and (u, v) rows, links that connect what
+    all the links of the task connect. A pair that shares several lists counts in the
+    least of them. Each pair of blocks of a list is a task of its own."""
+    lists = members.groupBy("rep").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    blocks = members.groupBy("list").agg(F.ceil(F.greatest(F.count("*") / COUNT_BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = members.select("list", "rep").join(blocks, "list").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("list", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "rep")
+    texts = _only(docs.dropna(subset=["doc_id"]), "doc_id", lists.select("rep")).withColumnRenamed("doc_id", "rep")
+    sizes = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    texts = staged(texts.join(lists, "rep").join(sizes, "rep"), "join-list-texts")
+
+    def run(t: pa.Table) -> pa.Table:
+        own, p, q = (t.column(c)[0].as_py() for c in ("list", "p", "q"))
+        _, first = np.unique(t.column("rep").to_numpy(), return_index=True)
+        t = t.take(pa.array(first))
+        rep, x, copies = (t.column(c).to_numpy() for c in ("rep", "x", "copies"))
+        sets = [shingle_set(v, k) for v in t.column("text").cast(pa.binary()).to_pylist()]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(x == p), np.flatnonzero(x == q)
+        total, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            at_left, at_right = np.full(len(rep), -1), np.full(len(rep), -1)
+            at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+            # pairs that a smaller list owns
+            other = np.zeros((len(left), len(right)), bool)
+            lists = t.column("lists").combine_chunks()
+            of = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy())
+            ids = lists.flatten().to_numpy()
+            of, ids = of[ids < own], ids[ids < own]
+            by = np.argsort(ids, kind="stable")
+            for m in np.split(of[by], np.flatnonzero(np.diff(ids[by])) + 1) if len(ids) else []:
+                other[np.ix_(at_left[m][at_left[m] >= 0], at_right[m][at_right[m] >= 0])] = True
+            # the right side's members by shingle
+            h = np.concatenate([sets[j] for j in right])
+            holder = np.repeat(np.arange(len(right)), size[right])
+            by = np.argsort(h, kind="stable")
+            h, holder = h[by], holder[by]
+            for n, i in enumerate(left):
+                lo = np.searchsorted(h, sets[i], "left")
+                m = np.searchsorted(h, sets[i], "right") - lo
+                end = np.cumsum(m)
+                if not end[-1]:
+                    continue
+                both = np.bincount(holder[np.arange(end[-1]) + np.repeat(lo - end + m, m)], minlength=len(right))
+                ok = (100 * both >= percent * (size[i] + size[right] - both)) & ~other[n]
+                r = right[ok & (right > i)] if p == q else right[ok]
+                total[i] += copies[r].sum()
+                total[r] += copies[i]
+                near, one = np.unique(label[r], return_index=True)
+                new = near != label[i]
+                u.append(np.minimum(rep[i], rep[r[one[new]]]))
+                v.append(np.maximum(rep[i], rep[r[one[new]]]))
+                label[np.isin(label, near)] = label[i]
+        u, v, some = np.concatenate(u), np.concatenate(v), np.flatnonzero(total)
+        a, b = pa.nulls(len(some), pa.int64()), pa.nulls(len(u), pa.int64())
+        return pa.table({c: pa.concat_arrays(z) for c, z in {"rep": [pa.array(rep[some]), b], "links": [pa.array(total[some]), b], "u": [a, pa.array(u)], "v": [a, pa.array(v)]}.items()})
+
+    return rows.join(texts, "rep").groupBy("list", "p", "q").applyInArrow(run, "rep long, links long, u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (u, v), component the smallest node that
     they reach: alternating steps that hang larger, then smaller neighbours on the least
@@ -464,10 +533,12 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return p.mapInArrow(run, "u long, v long").distinct()
 
 
-def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT):
-    """(rows, classes, links): rows (doc_id, n, sig), classes of equal sets (sig, rep, n,
-    copies), and verified links (u, v) between classes' representatives: all of them but
-    those inside components that others already connect."""
+def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool = False):
+    """(rows, classes, links, counts): rows (doc_id, n, sig), classes of equal sets (sig,
+    rep, n, copies), and verified links (u, v) between classes' representatives: all of
+    them but those inside components that others already connect. With count, counts is
+    (rep, links): how many documents of other sets each class links with, over all its
+    links; a class that links with none has no row."""
     spark = docs.sparkSession
     docs = only_columns(docs, ("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     every = staged(profiles(docs, k), "join-profiles")
@@ -483,30 +554,50 @@ def links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT):
     p = p.filter("a_rep <> b_rep").select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
     tested = staged(_suffix_filter(staged(p, "join-met"), classes, percent), "join-pairs")
     edges = staged(verified(docs, tested, k, percent), "join-links")
+    members, alone = None, edges
     if found.filter("list is not null").limit(1).count():
         members, bitmaps = long_lists(found, classes)
+    if members is not None and count:
+        members = members.filter("rep is not null")
+        more = staged(counted_links(docs, members, classes, k, percent), "join-counts")
+        lists = members.groupBy("rep").agg(F.collect_set("list").alias("l"))
+        side = lambda x: lists.select(F.col("rep").alias(x), F.col("l").alias(f"l{x}"))
+        alone = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(~F.coalesce(F.arrays_overlap("lu", "lv"), F.lit(False))).select("u", "v")
+        edges = edges.unionByName(more.filter("u is not null").select("u", "v"))
+    elif members is not None:
         for forest in (True, False):
             more = rest_pairs(members, bitmaps, components(edges), percent, forest)
             more = staged(more.join(tested, ["u", "v"], "left_anti"), "join-pairs")
             if more.limit(1).count():
                 edges = edges.unionByName(staged(verified(docs, more, k, percent), "join-links"))
                 tested = tested.unionByName(more)
-    return rows, classes, edges
+    if not count:
+        return rows, classes, edges, None
+    sizes = classes.filter("rep is not null").groupBy("rep").agg(F.sum("copies").alias("links"))
+    ends = alone.unionByName(alone.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    each = ends.join(sizes.withColumnRenamed("rep", "v"), "v").select(F.col("u").alias("rep"), "links")
+    if members is not None:
+        each = each.unionByName(more.filter("rep is not null").select("rep", "links"))
+    return rows, classes, edges, each.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that
-    links reach), n_copies (documents with the same set, itself included)."""
-    rows, classes, edges = links(docs, k, percent)
+    links reach), n_copies (documents with the same set, itself included); with count,
+    n_links (the other documents that it links with, copies among them)."""
+    rows, classes, edges, counts = links(docs, k, percent, count)
     comp = components(edges)
     known = classes.select("sig", "rep", "copies").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("sig", F.coalesce("component", "rep").alias("component"), "copies")
+    if count:
+        known = known.join(counts, "rep", "left")
+    known = known.select("sig", F.coalesce("component", "rep").alias("component"), "copies", *(["links"] if count else []))
     out = rows.select("doc_id", "n", "sig").join(known, "sig", "left")
     return out.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
+        *([F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")] if count else []),
     )
 
 
@@ -532,6 +623,10 @@ def op6_ngram_join(spark, sf_dir) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_links(spark, sf_dir) -> DataFrame:
+    return join_documents(table(spark, sf_dir, "documents"), count=True)
+
+
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -551,3 +646,6 @@ copies AS (SELECT x AS doc_id, count(*) AS c FROM links WHERE k = nx AND k = ny
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, comp.component_id, (1 + coalesce(c, 0))::BIGINT AS n_copies
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.doc_id = d.doc_id LEFT JOIN copies ON copies.doc_id = d.doc_id
 """
+
+#: OP6_SQL's rows with the number of each document's links.
+OP6_LINKS_SQL = OP6_SQL.rstrip().replace(" AS n_copies\n", " AS n_copies, coalesce(deg.l, 0)::BIGINT AS n_links\n") + " LEFT JOIN (SELECT x AS doc_id, count(*) AS l FROM links GROUP BY x) deg ON deg.doc_id = d.doc_id\n"

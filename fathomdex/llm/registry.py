@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_chat": chat.op5_chat,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op6_ngram_links": ngram_join.op6_ngram_links,
         "op7_html": html_text.op7_html,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_packing": packing.op9_packing,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op5_chat": chat.OP5_SQL, "op6_ngram_join": ngram_join.OP6_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_chat": chat.OP5_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op6_ngram_links": ngram_join.OP6_LINKS_SQL}

@@ -135,6 +135,34 @@ def test_join_of_large_groups(spark):
     assert joined(df) == brute_components(rows)
 
 
+def test_links_are_counted_in_full(spark):
+    """Every link of every document, in groups far over LIST_MAX that overlap, across
+    blocks, with copies, and in short lists beside them."""
+    rng = random.Random(5)
+    rows = []
+    for g, n in enumerate((60, 25, 3, 2)):
+        origin = words(rng, 70)
+        for i in range(n):
+            v = list(origin)
+            for _ in range(rng.randint(0, 6)):
+                v[rng.randrange(70)] = "".join(rng.choice("qrstuvw") for _ in range(6))
+            rows.append((1000 * g + i, " ".join(v)))
+    chain = words(rng, 140)
+    rows += [(7000 + i, " ".join(chain[3 * i : 3 * i + 40])) for i in range(30)]
+    rows += [(8000 + i, rows[3][1]) for i in range(15)] + [(9000, None), (9001, "a b"), (9002, "A b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for i, t in rows}
+    want = {i: sum(i != j and bool(a & b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    block = ngram_join.COUNT_BLOCK
+    ngram_join.COUNT_BLOCK = 16
+    try:
+        out = ngram_join.join_documents(df, count=True).collect()
+    finally:
+        ngram_join.COUNT_BLOCK = block
+    assert {r["doc_id"]: r["n_links"] for r in out} == want
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+
+
 def test_join_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert joined(none) == {}
