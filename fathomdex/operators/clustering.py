@@ -5,13 +5,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import vectors
 
-#: Most elements that the quadratic methods take.
+#: Most elements that the quadratic methods cluster in one task; more go in rounds.
 MAX_PAIRWISE = 4000
+#: Clusters whose distances are held at once, when few are left of more elements; rows of
+#: a task, and columns of a block.
+HELD_CLUSTERS, TASK_ROWS, COLUMNS = 2000, 512, 2048
 
 
 def elements(index, keys: DataFrame | None = None, n_features: int = 50, field: str | None = None) -> DataFrame:
@@ -54,23 +58,26 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, sq[:, None] + sq[None] - 2 * x @ x.T))
 
 
-def _complete_linkage(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters, joining the two whose farthest members are nearest."""
-    n = len(x)
-    d = _distances(x)
+def _join_nearest(d: np.ndarray, k: int):
+    """(i, j, distance), i < j, of each join in order, of the two whose farthest members
+    are nearest; d is used up."""
     np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
-    alive = n
-    while alive > max(1, k):
+    for _ in range(len(d) - max(1, k)):
         i, j = np.unravel_index(int(np.argmin(d)), d.shape)
         i, j = min(i, j), max(i, j)
+        yield int(i), int(j), float(d[i, j])
         d[i] = np.maximum(d[i], d[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
         d[j] = np.inf
         d[:, j] = np.inf
+
+
+def _complete_linkage(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters, joining the two whose farthest members are nearest."""
+    label = np.arange(len(x))
+    for i, j, _ in _join_nearest(_distances(x), k):
         label[label == j] = i
-        alive -= 1
     return label
 
 
@@ -87,51 +94,220 @@ def _spanning_tree(x: np.ndarray, k: int) -> np.ndarray:
         done[j] = True
         closer = d[j] < best
         best, near = np.where(closer, d[j], best), np.where(closer, j, near)
-    parent = list(range(n))
+    forest = _Forest(n)
+    for _, a, b in sorted(edges)[: max(0, n - k)]:
+        forest.join(a, b)
+    return forest.labels()
+
 
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
+class _Forest:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, a: int) -> int:
+        while self.parent[a] != a:
+            self.parent[a] = self.parent[self.parent[a]]
+            a = self.parent[a]
         return a
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart; the smaller root stays."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def labels(self) -> np.ndarray:
+        return np.array([self.find(a) for a in range(len(self.parent))])
+
+
+def _in_tasks(spark, parts: list, run) -> list:
+    """run(part) of each part, each in a task of its own."""
+    return spark.sparkContext.parallelize(parts, len(parts)).map(run).collect() if parts else []
+
+
+def _squares(x, sq, rows, cols) -> np.ndarray:
+    return np.maximum(0, sq[rows][:, None] + sq[cols] - 2 * x[rows] @ x[cols].T)
+
+
+def _spanning_tree_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
+    """_spanning_tree in rounds (Boruvka's): of each part of the tree so far the shortest
+    edge out of it is found, by tasks of some rows against all. A row's nearest one is
+    kept while it is in another part, and is a lower bound after that. Of a round's edges,
+    shortest first, those are taken that close no cycle; so ties do no harm."""
+    n = len(x)
+    held = spark.sparkContext.broadcast(x)
+    best, near = np.zeros(n), np.arange(n)
+    forest, part, edges = _Forest(n), np.arange(n), []
+    while len(edges) < n - 1:
+        out = part[near] != part
+        least = np.full(n, np.inf)
+        np.minimum.at(least, part[out], best[out])
+        todo = np.flatnonzero(~out & (best < least[part]))
+        parts = spark.sparkContext.broadcast(part)
+
+        def run(rows, held=held, parts=parts):
+            x, part = held.value, parts.value
+            sq = (x * x).sum(1)
+            b, at = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64)
+            for c in range(0, len(x), COLUMNS):
+                cols = slice(c, c + COLUMNS)
+                d = _squares(x, sq, rows, cols)
+                d[part[rows][:, None] == part[cols]] = np.inf
+                j = d.argmin(1)
+                v = d[np.arange(len(rows)), j]
+                at[v < b] = c + j[v < b]
+                b = np.minimum(b, v)
+            return rows, b, at
+
+        for rows, b, at in _in_tasks(spark, [todo[i : i + TASK_ROWS] for i in range(0, len(todo), TASK_ROWS)], run):
+            best[rows], near[rows] = b, at
+        parts.unpersist()
+        out = np.flatnonzero(part[near] != part)
+        out = out[np.lexsort((out, best[out]))]
+        _, first = np.unique(part[out], return_index=True)
+        for i in out[np.sort(first)].tolist():
+            if forest.join(i, int(near[i])):
+                edges.append((float(best[i]), i, int(near[i])))
+        part = forest.labels()
+    held.unpersist()
+    forest = _Forest(n)
     for _, a, b in sorted(edges)[: max(0, n - k)]:
-        parent[find(a)] = find(b)
-    return np.array([find(a) for a in range(n)])
+        forest.join(a, b)
+    return forest.labels()
+
+
+def _complete_linkage_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
+    """_complete_linkage in rounds: any two clusters that are each other's nearest are
+    joined, which makes the same joins in another order, because a join brings no cluster
+    nearer. A cluster's nearest one holds until one of them is joined; others are found by
+    tasks of some clusters against all. When few clusters are left, their distances are
+    held at once. The n - k lowest joins are kept. Equal elements are one from the start."""
+    _, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    point = np.sort(first)
+    back = np.searchsorted(point, first[back.ravel()])
+    x = x[point]
+    n = len(x)
+    held = spark.sparkContext.broadcast(x)
+    label, joins = np.arange(n), []
+    best, near, height = np.zeros(n), np.full(n, -1), np.zeros(n)
+    alive = np.arange(n)
 
+    def far(clusters, whole):
+        """Of each of the clusters its nearest other one and its distance; with whole,
+        its distances from all."""
+        order = np.argsort(label, kind="stable")
+        ids, start, size = np.unique(label[order], return_index=True, return_counts=True)
+        cuts = [0]
+        for i, end in enumerate(start + size):
+            if end - start[cuts[-1]] > COLUMNS and i > cuts[-1]:
+                cuts.append(i)
+        state = spark.sparkContext.broadcast((order, start, size, [*cuts, len(ids)]))
 
-def _pairwise(rows: DataFrame, k: int, method) -> DataFrame:
-    """A quadratic method, run on one executor over a checked number of rows."""
+        def run(mine, held=held, state=state):
+            x, (order, start, size, cuts) = held.value, state.value
+            sq = (x * x).sum(1)
+            b, at, every = np.full(len(mine), np.inf), np.zeros(len(mine), np.int64), []
+            for lo, hi in zip(cuts, cuts[1:]):
+                cols = order[start[lo] : start[hi - 1] + size[hi - 1]]
+                d = np.zeros((len(mine), hi - lo))
+                rows = np.concatenate([order[start[i] : start[i] + size[i]] for i in mine])
+                of = np.repeat(np.arange(len(mine)), size[mine])
+                for r in range(0, len(rows), TASK_ROWS):
+                    e = _squares(x, sq, rows[r : r + TASK_ROWS], cols)
+                    if hi - lo < len(cols):
+                        e = np.maximum.reduceat(e, start[lo:hi] - start[lo], axis=1)
+                    g, s = np.unique(of[r : r + TASK_ROWS], return_index=True)
+                    d[g] = np.maximum(d[g], np.maximum.reduceat(e, s, axis=0) if len(g) < len(e) else e)
+                if whole:
+                    every.append(d)
+                    continue
+                own = np.flatnonzero((mine >= lo) & (mine < hi))
+                d[own, mine[own] - lo] = np.inf
+                j = d.argmin(1)
+                v = d[np.arange(len(mine)), j]
+                at[v < b] = lo + j[v < b]
+                b = np.minimum(b, v)
+            return mine, b, at, np.concatenate(every, 1) if whole else None
+
+        todo = np.searchsorted(ids, clusters)
+        task = np.cumsum(size[todo]) // TASK_ROWS
+        found = _in_tasks(spark, np.split(todo, np.flatnonzero(np.diff(task)) + 1) if len(todo) else [], run)
+        state.unpersist()
+        return [(ids[m], b, ids[at], d) for m, b, at, d in found]
+
+    while len(alive) > HELD_CLUSTERS:
+        for m, b, at, _ in far(alive[near[alive] < 0], False):
+            best[m], near[m] = b, at
+        i = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(i):  # ties that rounding has broken
+            i = alive[[np.argmin(best[alive])]]
+        j = near[i]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        height[i] = np.maximum(best[i], np.maximum(height[i], height[j]))
+        joins += zip(height[i].tolist(), i.tolist(), j.tolist())
+        gone = np.zeros(n, bool)
+        gone[i] = gone[j] = True
+        into = np.arange(n)
+        into[j] = i
+        label = into[label]
+        alive = alive[into[alive] == alive]
+        near[alive[gone[alive] | gone[near[alive]]]] = -1
+    d = np.zeros((len(alive), len(alive)))
+    for m, _, _, rows in far(alive, True):
+        d[np.searchsorted(alive, m)] = rows
+    held.unpersist()
+    for i, j, h in _join_nearest(np.maximum(d, d.T), 1):
+        i, j = int(alive[i]), int(alive[j])
+        height[i] = max(h, height[i], height[j])
+        joins.append((float(height[i]), i, j))
+    forest = _Forest(n)
+    for _, i, j in sorted(joins, key=lambda e: e[0])[: max(0, n - k)]:
+        forest.join(i, j)
+    return point[forest.labels()][back]
+
+
+def _numbered(x: np.ndarray, label: np.ndarray):
+    """(clusters numbered as they come, distances from their means)."""
+    ids = {v: i for i, v in enumerate(dict.fromkeys(label.tolist()))}
+    cluster = np.array([ids[v] for v in label.tolist()], np.int32)
+    dist = np.zeros(len(x))
+    for v in range(len(ids)):
+        at = cluster == v
+        dist[at] = np.sqrt(((x[at] - x[at].mean(0)) ** 2).sum(1))
+    return cluster, dist
+
+
+def _pairwise(rows: DataFrame, k: int, method, in_rounds) -> DataFrame:
+    """A quadratic method: in one task up to MAX_PAIRWISE elements, and else in rounds of
+    tasks, for which the driver and each executor hold all elements' features."""
     full = rows.filter(F.size("features") > 0)
-    n = full.limit(MAX_PAIRWISE + 1).count()
-    if n > MAX_PAIRWISE:
-        raise ValueError(f"over {MAX_PAIRWISE} elements: cluster a result's top, or use kmeans")
     kind = dict(rows.dtypes)["key"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
         x = np.array(pdf["features"].tolist(), float)
-        label = method(x, k)
-        ids = {v: i for i, v in enumerate(dict.fromkeys(label.tolist()))}
-        dist = np.zeros(len(x))
-        for v in ids:
-            at = label == v
-            dist[at] = np.sqrt(((x[at] - x[at].mean(0)) ** 2).sum(1))
-        return pd.DataFrame({"key": pdf["key"], "cluster": [ids[v] for v in label.tolist()], "distance": dist})
-
-    out = full.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"key {kind}, cluster int, distance double")
+        cluster, dist = _numbered(x, method(x, k))
+        return pd.DataFrame({"key": pdf["key"], "cluster": cluster, "distance": dist})
+
+    if full.limit(MAX_PAIRWISE + 1).count() <= MAX_PAIRWISE:
+        out = full.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"key {kind}, cluster int, distance double")
+    else:
+        t = full.select("key", "features").orderBy("key").toArrow()
+        x = t.column("features").combine_chunks().flatten().to_numpy().astype(float).reshape(len(t), -1)
+        cluster, dist = _numbered(x, in_rounds(rows.sparkSession, x, k))
+        out = rows.sparkSession.createDataFrame(pa.table({"key": t.column("key"), "cluster": pa.array(cluster), "distance": pa.array(dist)}))
     rest = rows.filter(F.size("features") == 0).select("key", F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("distance"))
     return out.unionByName(rest)
 
 
 def hac(rows: DataFrame, k: int) -> DataFrame:
     """(key, cluster, distance) by complete-linkage agglomeration."""
-    return _pairwise(rows, k, _complete_linkage)
+    return _pairwise(rows, k, _complete_linkage, _complete_linkage_rounds)
 
 
 def mst(rows: DataFrame, k: int) -> DataFrame:
     """(key, cluster, distance) by cutting a minimum spanning tree into k parts."""
-    return _pairwise(rows, k, _spanning_tree)
+    return _pairwise(rows, k, _spanning_tree, _spanning_tree_rounds)
 
 
 def stats(clusters: DataFrame) -> DataFrame:

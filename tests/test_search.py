@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,26 @@ def test_clusters(spark):
         assert len({frozenset(k for k in range(15) if got[k] == c) for c in {got[k] for k in range(15)}} & {frozenset(range(0, 5)), frozenset(range(5, 10)), frozenset(range(10, 15))}) == 3
 
 
+def test_clusters_of_many_elements(spark, monkeypatch):
+    """In rounds of tasks as in one: on random points with copies, and beyond 4,000 rows."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(2, 6)), 20, 0), rng.normal(size=(60, 6)) + 4])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(999, [])], "key int, features array<double>")
+    monkeypatch.setattr(K, "HELD_CLUSTERS", 25)
+    parts = lambda out: {frozenset(r["key"] for r in out if r["cluster"] == c) for c in {r["cluster"] for r in out}}
+    for method in (K.hac, K.mst):
+        for k in (3, 12, 200):
+            one = method(df, k).collect()
+            with monkeypatch.context() as m:
+                m.setattr(K, "MAX_PAIRWISE", 10)
+                got = method(df, k).collect()
+            assert parts(got) == parts(one)
+            assert {r["key"]: r["distance"] for r in got} == pytest.approx({r["key"]: r["distance"] for r in one})
+    many = spark.createDataFrame([(i, [float(i % 3 * 100), float(i) / 5000]) for i in range(4100)], "key int, features array<double>")
+    assert parts(K.mst(many, 3).collect()) == {frozenset(range(c, 4100, 3)) for c in range(3)}
+    assert parts(K.hac(many, 3).collect()) == {frozenset(range(c, 4100, 3)) for c in range(3)}
+
+
 def test_classification(index, spark):
     members = index.search("<exact> java").df.select("key")
     t = C.contingency(index, members, prune=False)
