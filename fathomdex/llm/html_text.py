@@ -35,6 +35,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select option title head".split())
+#: Those of them that reach to the page's end where their end tag is missing.
+TO_THE_END = frozenset("script style textarea title".split())
+#: An option's end tag may be left out before the next one and its parent's end.
+_OPTION_END = re.compile(r"</option\s*>|(?=<(?:option|optgroup)\b|</(?:select|datalist|optgroup)\b)", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("nav footer aside form header menu dialog button fieldset article main section".split())
@@ -145,12 +149,14 @@ def blocks(html: str) -> list[_Block]:
         if tag in RAW and not closing:
             end_block() if tag != "title" else None
             if not m[4].rstrip().endswith("/"):
+                # without an end tag, what follows the start tag is read as any other
                 if tag == "head":
-                    found = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                    at = (found.end() if found[0][1] == "/" else found.start()) if found else n
+                    found = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(html, at)
+                elif tag == "option":
+                    found = _OPTION_END.search(html, at)
                 else:
                     found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = found.end() if found else n
+                at = found.end() if found else n if tag in TO_THE_END else at
             held.append(" ")
             continue
         end_block()

@@ -202,6 +202,24 @@ def test_html_structures():
     assert html_text.main_text(deep) == "some words in a very deep place of the page"
 
 
+def test_html_elements_without_end_tags():
+    text = "some words of an article that is long enough to be its text"
+    article = f"<article><p>{text}</p></article>"
+    for before in (
+        "<datalist><option value=a><option value=b></datalist>",
+        "<select><option>One<option>Two</select>",
+        "<select><optgroup><option>One<optgroup><option>Two</select>",
+        "<head><title>T</title><meta charset=utf-8><script>var a = 1</script>",
+        "<noscript>",
+        "<template>",
+        "<svg>",
+    ):
+        assert html_text.main_text(before + article) == text, before
+    assert html_text.main_text(f"<datalist><option value=a></datalist>{article}<datalist><option>b</option></datalist>") == text
+    for open_ in ("<script>", "<style>", "<textarea>", "<title>"):
+        assert html_text.main_text(article + open_ + article) == text
+
+
 def test_html_pages_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {}
