@@ -689,7 +689,7 @@ def _(spark, d):
 @query("rocchio_classify")
 def _(spark, d):
     ix = docs_index(spark, d)
-    return C.RocchioModel.train(ix, "toxic", _toxic(spark, d), (64.0,), (32.0, 128.0)).classify(ix)
+    return C.RocchioModel.train(ix, "toxic", _toxic(spark, d)).classify(ix)
 
 
 @query("winnow_scores")

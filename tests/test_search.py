@@ -254,6 +254,15 @@ def test_classification(index, spark):
     assert max(r["count"] for r in folds) - min(r["count"] for r in folds) <= 1
 
 
+def test_rocchio_query_tries_the_whole_grid(spark, monkeypatch):
+    from fathomdex import queries as engine
+
+    tried, rocchio = [], C.rocchio
+    monkeypatch.setattr(C, "rocchio", lambda *a, **b: tried.append((b["beta"], b["gamma"])) or rocchio(*a, **b))
+    engine.QUERIES["rocchio_classify"](spark, "/root/testdata/sf0.001")
+    assert set(tried[:-1]) == set(itertools.product((32.0, 64.0, 128.0), repeat=2)) and tried[-1] in tried[:-1]
+
+
 def test_taxonomy(spark):
     t = Taxonomy(spark.createDataFrame([("b", "a", "kind_of"), ("c", "b", "morph"), ("a", "c", "kind_of"), ("x", "y", "kind_of")], "child string, parent string, link string"))
     assert t.subsumed("a") == ["b", "c"]
