@@ -3,8 +3,9 @@
 Where the tokenizer drops white space, lower-cases, and splits words by PATTERN before
 its merges (its file says so), a text's ids are its words' pieces' ids one after the
 other. Each distinct piece goes to the library once while it is remembered; the memo is
-keyed by 64-bit hashes, bounded, and refilled from the texts at hand when full. Words
-with quotes, with letters from U+0240 on, or that could hold a special token go to the
+ordered by 64-bit hashes, bounded, and refilled from the texts at hand when full. A piece
+is only taken for another, or for a remembered one, when its bytes are the same; where
+two different pieces have one hash, the texts at hand go to the library. Words with quotes, with letters from U+0240 on, or that could hold a special token go to the
 library whole; so do whole texts with any other tokenizer.
 """
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .word_hash import hashed_pieces
+from .word_hash import distinct, hashed_pieces, same
 
 #: Pieces that a worker remembers.
 MEMO = 600_000
@@ -36,10 +37,11 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        # pieces by hash, in order: how many ids, and where they are in `flat`
+        # pieces by hash, in order: how many ids, where they are in `flat`, how many
+        # bytes, and where they are in `pool`; the first is no piece, as none is empty
         self.keys = np.array([0], np.uint64)
-        self.count = self.place = np.array([0], np.int64)
-        self.flat = np.zeros(0, self.dtype)
+        self.count = self.place = self.length = self.spot = np.array([0], np.int64)
+        self.flat, self.pool = np.zeros(0, self.dtype), b""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_piece = self._fits(spec)
@@ -103,46 +105,58 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text; null is empty. Pieces are told apart by a 64-bit hash;
-        each one that the memo lacks is looked up once, and ids are gathered."""
+        """Ids of each UTF-8 text; null is empty. Each piece that the memo lacks is
+        looked up once, and ids are gathered."""
         if not self.by_piece:
-            return [np.frombuffer(x, self.dtype) for x in self._library([(t or b"").decode() for t in texts])]
+            return self._whole(texts)
         # ASCII letters are lower-cased at once, but for texts that may hold special tokens
         low = [(t if b"<|" in t else t.lower()) if t else b"" for t in texts]
         buf = b" ".join(low)
         start, end, h, whole = hashed_pieces(buf)
         if not len(start):
             return [np.zeros(0, self.dtype) for _ in texts]
-        hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.keys, hashes)
-        known = self.keys[np.minimum(spot, len(self.keys) - 1)] == hashes
-        new = first[~known]
-        learned = self._learn([buf[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)], whole[new].tolist())
+        first, which, plain = distinct(buf, start, end, h)
+        if not plain:
+            return self._whole(texts)
+        hashes, begin, size = h[first], start[first], (end - start)[first]
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        old = at[known]
+        if not ((self.length[old] == size[known]).all() and same(buf, begin[known], self.pool, self.spot[old], size[known])):
+            return self._whole(texts)
+        new = [buf[a : a + n] for a, n in zip(begin[~known].tolist(), size[~known].tolist(), strict=True)]
+        learned = self._learn(new, whole[first[~known]].tolist())
         sizes = np.fromiter(map(len, learned), np.int64, len(learned)) // self.dtype.itemsize
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(learned), self.dtype)])
-        n, at = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
-        n[known], at[known] = self.count[spot[known]], self.place[spot[known]]
-        n[~known], at[~known] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
-        size = n[which]
-        upto = np.cumsum(size)
-        out = flat[np.repeat(at[which] - (upto - size), size) + np.arange(int(upto[-1]))]
-        self._remember(hashes, spot, known, n, at, flat)
+        n, place, spot = (np.empty(len(hashes), np.int64) for _ in range(3))
+        n[known], place[known], spot[known] = self.count[old], self.place[old], self.spot[old]
+        n[~known], place[~known] = sizes, len(self.flat) + np.cumsum(sizes) - sizes
+        spot[~known] = len(self.pool) + np.cumsum(size[~known]) - size[~known]
+        m = n[which]
+        upto = np.cumsum(m)
+        out = flat[np.repeat(place[which] - (upto - m), m) + np.arange(int(upto[-1]))]
+        self._remember(hashes, known, (n, place, size, spot), flat, self.pool + b"".join(new))
         # the texts' ends, in pieces and then in ids
         edge = np.cumsum([len(t) + 1 for t in low])
         cut = np.r_[0, upto][np.searchsorted(start, edge)]
         return np.split(out, cut[:-1])
 
-    def _remember(self, hashes, spot, known, n, at, flat) -> None:
-        if len(self.keys) + int((~known).sum()) > MEMO:  # keep what these texts use
-            self.keys, self.count = hashes, n
-            self.place = np.cumsum(n) - n
-            self.flat = flat[np.repeat(at - self.place, n) + np.arange(int(n.sum()))]
+    def _whole(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        return [np.frombuffer(x, self.dtype) for x in self._library([(t or b"").decode() for t in texts])]
+
+    def _remember(self, hashes, known, rows, flat, pool) -> None:
+        new = ~known
+        if len(self.keys) + int(new.sum()) > MEMO:  # keep what these texts use
+            n, place, size, spot = rows
+            self.keys, self.count, self.length = hashes, n, size
+            self.place, self.spot = np.cumsum(n) - n, np.cumsum(size) - size
+            self.flat = flat[np.repeat(place - self.place, n) + np.arange(int(n.sum()))]
+            self.pool = b"".join([pool[a : a + k] for a, k in zip(spot.tolist(), size.tolist(), strict=True)])
             return
-        where = spot[~known]
-        self.keys = np.insert(self.keys, where, hashes[~known])
-        self.count = np.insert(self.count, where, n[~known])
-        self.place = np.insert(self.place, where, at[~known])
-        self.flat = flat
+        where = np.searchsorted(self.keys, hashes[new])
+        self.keys = np.insert(self.keys, where, hashes[new])
+        self.count, self.place, self.length, self.spot = (np.insert(x, where, y[new]) for x, y in zip((self.count, self.place, self.length, self.spot), rows, strict=True))
+        self.flat, self.pool = flat, pool
 
 
 def text_chunks(batches, text: int = 1):

@@ -1,16 +1,28 @@
-"""Words of a text as 64-bit hashes, found and hashed all at once with numpy."""
+"""Words of a text as numbers, found and hashed all at once with numpy.
+
+The fast 64-bit hash of a word only sorts words: whoever takes two words of one hash for
+the same compares their bytes (`same`, `distinct`). Numbers that leave a task are
+`strong`, the first 64 bits of a BLAKE2b digest, which nobody can make collide at will.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U64 = np.uint64
-_RATIO = 0x9E3779B97F4A7C55  # odd
-_powers: list[np.ndarray] = []
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Longer texts are worked on in parts that end at white space.
 PART = 1 << 20
+#: Longer words are hashed and compared one by one.
+LONG = 256
+#: Words whose strong hashes a worker remembers.
+MEMO = 400_000
+#: By a count of bytes, up to 8: a mask of as many low bytes.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
+_known: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,20 +32,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """ratio^k and ratio^-k mod 2^64, for k below n."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        inverse = pow(_RATIO, -1, 1 << 64)
-        _powers[:] = [np.multiply.accumulate(np.r_[_U64(1), np.full(size - 1, r, _U64)]) for r in (_RATIO, inverse)]
-    return _powers[0], _powers[1]
-
-
-def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, _U64)
-    np.cumsum((raw.astype(_U64) + _U64(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+def _eights(text: bytes) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end."""
+    return np.ndarray(len(text) + 1, "<u8", text + b"\0" * 8, strides=(1,))
+
+
+def _columns(n: np.ndarray):
+    """(j, which): the pieces of more than 8 j bytes, up to LONG, for j from 0 on."""
+    at = np.flatnonzero(n <= LONG)
+    j = 0
+    while len(at):
+        yield j, at
+        j += 8
+        at = at[n[at] > j]
+
+
+def _hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    view, n = _eights(text), end - start
+    h = n.astype(_U64) * _U64(0xD6E8FEB86659FD93)
+    for j, at in _columns(n):
+        h[at] = mix((h[at] ^ (view[start[at] + j] & _MASK[np.minimum(n[at] - j, 8)])) * _U64(0x9E3779B97F4A7C55))
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same(a: bytes, a_start: np.ndarray, b: bytes, b_start: np.ndarray, n: np.ndarray) -> bool:
+    """Are the n bytes of each piece of a those of the piece of b beside it?"""
+    x = _eights(a)
+    y = x if a is b else _eights(b)
+    for j, at in _columns(n):
+        if (((x[a_start[at] + j] ^ y[b_start[at] + j]) & _MASK[np.minimum(n[at] - j, 8)]) != 0).any():
+            return False
+    return all(a[a_start[i] : a_start[i] + n[i]] == b[b_start[i] : b_start[i] + n[i]] for i in np.flatnonzero(n > LONG).tolist())
+
+
+def distinct(text: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(first, which, plain): one piece for each different one, and for every piece the
+    number of its own; plain: no two different pieces have the same hash, and the
+    different ones are in the order of their hashes."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    n, rep = end - start, first[which]
+    if (n == n[rep]).all() and same(text, start, text, start[rep], n):
+        return first, which, True
+    seen: dict[bytes, int] = {}
+    which = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
+    return np.unique(which, return_index=True)[1], which, False
+
+
+def strong(words: list[bytes]) -> np.ndarray:
+    """A 64-bit BLAKE2b hash of each word."""
+    if len(_known) + len(words) > MEMO:
+        _known.clear()
+    out = np.empty(len(words), _U64)
+    for i, w in enumerate(words):
+        x = _known.get(w)
+        if x is None:
+            x = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            if len(w) <= LONG:
+                _known[w] = x
+        out[i] = x
+    return out
 
 
 def _words(raw: np.ndarray):
@@ -46,7 +105,7 @@ def _part(text: bytes):
     start, end = _words(raw)
     if not len(start):
         return start, end, np.zeros(0, _U64)
-    return start, end, _hashes(raw, start, end)
+    return start, end, _hashes(text, start, end)
 
 
 def _class_table() -> np.ndarray:
@@ -90,7 +149,7 @@ def _piece_part(text: bytes):
     start = np.flatnonzero(first)
     of = np.searchsorted(w_start, start, "right") - 1
     end = np.minimum(np.r_[start[1:], len(raw)], w_end[of])
-    return start, end, _hashes(raw, start, end), whole[of]
+    return start, end, _hashes(text, start, end), whole[of]
 
 
 def _in_parts(text: bytes, work):
@@ -108,13 +167,12 @@ def _in_parts(text: bytes, work):
 
 
 def hashed_words(text: bytes):
-    """(starts, ends, hashes) of the runs of bytes other than ASCII white space. A hash
-    is a polynomial over the word's bytes and its length, mixed."""
+    """(starts, ends, fast hashes) of the runs of bytes other than ASCII white space."""
     return _in_parts(text, _part)
 
 
 def hashed_pieces(text: bytes):
-    """(starts, ends, hashes, whole): words cut into runs of letters, single digits and
+    """(starts, ends, fast hashes, whole): words cut into runs of letters, single digits and
     runs of other ASCII characters; a word with bytes that need more than that is one
     piece, marked as whole."""
     return _in_parts(text, _piece_part)

@@ -51,6 +51,28 @@ def test_encoder_memo_refills(monkeypatch):
         assert [g.tolist() for g in enc.encode([t.encode() for t in texts])] == [w.ids for w in enc.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("n", [4, 10, 12])
+def test_encoder_tells_words_apart_by_their_bytes(n):
+    """Words that a polynomial hash confuses, in one call and in several."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for calls in ([[x, y]], [[x], [y]], [[f"{y} {x} {y}"], [x]]):
+        enc = WordEncoder(BPE)
+        for texts in calls:
+            assert [g.tolist() for g in enc.encode([t.encode() for t in texts])] == [w.ids for w in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_where_all_hashes_are_the_same(monkeypatch):
+    from fathomdex.llm import word_hash
+
+    monkeypatch.setattr(word_hash, "_hashes", lambda text, start, end: np.full(len(start), 7, np.uint64))
+    enc = WordEncoder(BPE)
+    for texts in (["one"], ["one one"], ["two"], ["three words here", "one"]):
+        assert [g.tolist() for g in enc.encode([t.encode() for t in texts])] == [w.ids for w in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_are_those_of_bytes_split():
     for t in TEXTS:
         raw = (t or "").encode()
