@@ -135,7 +135,7 @@ def test_join_of_large_groups(spark):
     assert joined(df) == brute_components(rows)
 
 
-def test_links_are_counted_in_full(spark):
+def test_links_are_counted_in_full(spark, monkeypatch):
     """Every link of every document, in groups far over LIST_MAX that overlap, across
     blocks, with copies, and in short lists beside them."""
     rng = random.Random(5)
@@ -153,12 +153,10 @@ def test_links_are_counted_in_full(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for i, t in rows}
     want = {i: sum(i != j and bool(a & b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
-    block = ngram_join.COUNT_BLOCK
-    ngram_join.COUNT_BLOCK = 16
-    try:
-        out = ngram_join.join_documents(df, count=True).collect()
-    finally:
-        ngram_join.COUNT_BLOCK = block
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "GROUP_DOCS", 8)
+    monkeypatch.setattr(ngram_join, "HOT_LOG", 4)
+    out = ngram_join.join_documents(df).collect()
     assert {r["doc_id"]: r["n_links"] for r in out} == want
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
 
@@ -170,7 +168,76 @@ def test_join_edges(spark):
     rows = sorted((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.join_documents(df).collect())
     assert rows == [(-1, 7), (7, 7), (7, 7), (9, 9)]
     kept = ngram_join.keep_one(df.withColumn("lang", F.lit("x")))
-    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 7, 9]
+    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r["doc_id"] or -1 for r in kept.collect()) == [7, 9]
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    """Rows of one id are one document, whatever their order; null ids stay where nothing
+    that they link with has an id."""
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    near = lambda w: " ".join([*w[:-1], "zz"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, None), (2, near(a)), (3, near(b)), (4, "alone are these words of it"), (None, "x y z"), (None, "x y z"), (None, near(b)), (5, ""), (5, "")]
+    for _ in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.join_documents(df).collect())
+        assert got == Counter([(1, 1, 1), (1, 1, 2), (1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0), (None, None, 1), (None, None, 1), (None, 1, 2), (5, 5, 0), (5, 5, 0)])
+        kept = ngram_join.keep_one(df.withColumn("_id", F.lit(0)).withColumn("key", F.lit("k")).withColumn("a.b", F.lit(2)))
+        assert kept.columns == ["doc_id", "text", "_id", "key", "a.b"]
+        # of document 1, the first row by its columns: null texts are left out of them
+        assert sorted(((r["doc_id"] or 0, r["text"] if r["doc_id"] != 1 else "") for r in kept.collect()), key=str) == sorted([(1, ""), (4, "alone are these words of it"), (0, "x y z"), (5, "")], key=str)
+
+
+def thue_morse(n):
+    t = "a"
+    for _ in range(n):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_polynomials_confuse(spark, n):
+    x = thue_morse(n)
+    y = x.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(words(random.Random(n), 4))
+    rows = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y), (5, f"{x} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df) == brute_components(rows)
+
+
+def test_shingles_of_one_hash_are_told_apart_by_their_words(monkeypatch):
+    texts = [b"a b c d e f", b"a b c d e f g", b"q r s t u v", b"", b"a b", None, b"x" * 400]
+    plain = ngram_join.exact_sets(texts)
+    monkeypatch.setattr(ngram_join, "strong", lambda w: np.zeros(len(w), np.uint64))
+    told = ngram_join.exact_sets(texts)
+    for sets in (plain, told):
+        assert [len(s) for s in sets] == [2, 3, 2, 0, 1, 0, 1]
+        assert len(np.intersect1d(sets[0], sets[1])) == 2 and not len(np.intersect1d(sets[0], sets[2]))
+
+
+def test_suffix_filter_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, 90)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        assert ngram_join.may_link(a, b, 75) or 100 * both < 75 * (len(a) + len(b) - both)
+    assert not ngram_join.may_link(np.arange(100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64), 75)
+
+
+def test_overlaps_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(ngram_join, "DENSE", 5)
+    monkeypatch.setattr(ngram_join, "DENSE_COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(20)]
+    for left in (20, 7):
+        base = 0 if left == 20 else left
+        got = ngram_join._overlaps(sets, left)
+        for i in range(left):
+            for j in range(base, 20):
+                if i != j:
+                    assert got[i, j - base] == len(np.intersect1d(sets[i], sets[j]))
 
 
 def test_parity_bitmaps_bound_the_difference():
