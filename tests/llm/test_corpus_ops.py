@@ -266,13 +266,40 @@ def test_components_of_paths_and_stars(spark):
 # ---- op1
 
 
+def brute_score(text, m):
+    """The score of one text, window by window, with compressors made from scratch."""
+    import math
+
+    import zstandard
+
+    def size(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=toxicity.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    saved, held = [], []
+    for w in [*(text or "").encode().lower().split(), None]:
+        if w is not None:
+            held += [w[k : k + toxicity.WINDOW] for k in range(0, len(w), toxicity.WINDOW)] if len(w) > toxicity.WINDOW else [w]
+        while held and (w is None or sum(len(x) + 1 for x in held) >= toxicity.WINDOW):
+            n = next((k + 1 for k in range(len(held)) if sum(len(x) + 1 for x in held[: k + 1]) >= toxicity.WINDOW), len(held))
+            window = b" " + b" ".join(held[:n]) + b" "
+            held = held[n:]
+            saved.append(min(toxicity.MAX_CUT, max(0, size(window, m.ordinary) - size(window, m.toxic + m.ordinary))))
+    n, hit = len(saved), sum(x >= m.cut for x in saved)
+    z = (hit - n * m.chance) / math.sqrt(n * m.chance * (1 - m.chance) + 0.5)
+    x = [math.copysign(math.log1p(abs(z)), z) if z else 0.0, z, min(hit / max(n, 1), 0.2), min(sum(saved) / max(n, 1), 1.0)]
+    return 1 / (1 + math.exp(-max(-30, min(30, m.weights[0] + sum(w * (v - a) / b for w, v, a, b in zip(m.weights[1:], x, m.mean, m.scale, strict=True))))))
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    docs = docs.withColumn("toxicity2", F.lit(1))
+    docs = docs.withColumn("toxicity", F.lit(1)).withColumn("row", F.lit("r")).withColumn("a.b", F.lit(2))
     model = toxicity.fit(docs, labels)
-    held = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out()), model).select("toxicity", "toxic").collect()
-    s, y = np.array([r["toxicity"] for r in held]), np.array([r["toxic"] for r in held])
+    held = toxicity.score(docs.join(labels, "doc_id").filter(toxicity.held_out()), model, "score").select("score", "toxic", "text").collect()
+    s, y = np.array([r["score"] for r in held]), np.array([r["toxic"] for r in held])
+    for r in held[:60]:
+        assert r["score"] == pytest.approx(brute_score(r["text"], model), abs=1e-9)
     assert toxicity._order(s, y) > 0.93
     assert ((s >= 0.5) & (y == 0)).sum() <= 0.01 * (y == 0).sum()
     assert ((s >= 0.5) & (y == 1)).sum() >= 0.7 * (y == 1).sum()
@@ -287,6 +314,17 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_carries_columns_of_any_name(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = docs.withColumn("toxicity", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("a.b", F.lit(2))
+    kept = toxicity.filter_toxic(odd, labels)
+    assert kept.columns == odd.columns and {r["toxicity"] for r in kept.collect()} == {"mine"}
+    assert 0 < kept.count() <= docs.count()
+    long = spark.createDataFrame([(1, "plain words of text " * 60_000), (2, "x" * 500_000)], "doc_id long, text string")
+    assert toxicity.score(long, toxicity.fit(docs, labels)).count() == 2
+
+
 def test_windows_keep_every_word():
     rng = random.Random(5)
     t = " ".join(words(rng, 500)) + " " + "y" * 333
