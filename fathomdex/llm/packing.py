@@ -1,24 +1,27 @@
 """Best-fit packing of documents into sequences of fixed capacity by sum of squares.
 
-Only lengths matter for where a piece goes, and there are at most `capacity` of them, so
-the rule runs over the histogram of lengths, from long to short: each piece goes where
-the squared counts of open bins per residual gap become smallest (ties to the smallest
-gap), into a new sequence only where no open one has room. Of many equal pieces a fixed
-share of those left is placed by one decision, so the driver's work grows with capacity x
-log(pieces), not with the documents. What it yields are runs (length, first
-rank, count, first sequence, offset); a piece finds its run by its rank among the pieces
-of its length, which is counted in chunks so that no length is ranked in one task.
-
-Defined cases: a null or empty text is its end id alone; repeated rows are packed each;
-an empty table gives no rows; a piece of exactly the capacity fills a sequence alone;
-extra columns are ignored.
+Pieces are dealt into shards of about SHARD_PIECES by a number drawn when they are written,
+and each shard is packed in one task, from long to short pieces: each piece goes where the
+squared counts of open bins per residual gap become smallest (ties to the smallest gap),
+into a new sequence only where no open one has room. (With new sequences as candidates
+everywhere the rule needs 0.4 % more of them: see the README.) A shard leaves a few
+sequences unfilled, whatever its size, so no step sees all pieces.
+
+Defined cases: a null or empty text is its end id alone; a very long text is cut into
+pieces; repeated rows are packed each, and dealt apart; an empty table gives no rows; a
+piece of exactly the capacity fills a sequence alone; pieces of one length go in the order
+of their ids, null first; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only_columns, staged, table
@@ -26,100 +29,77 @@ from .ids import WordEncoder, crc_u32, text_chunks
 
 CAPACITY = 2048
 END_ID = 0
-CHUNKS = 64
-#: One decision places 2^-SHARE of the pieces of a length that are left, one at least.
-SHARE = 4
+#: Pieces of a shard, about.
+SHARD_PIECES = 100_000
+
+
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32")
+KINDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each whole text's ids and end id;
-    only longer documents are cut, at multiples of the capacity."""
+    """(doc_id, piece, start, length, ids_crc32, deal) of each whole text's ids and end id;
+    only longer documents are cut, at multiples of the capacity. deal is a number that
+    deals rows out evenly, equal ones too."""
 
     def run(batches):
         enc = WordEncoder.of(path)
         end = np.array([end_id], enc.dtype)
+        task, n = TaskContext.get().partitionId(), 0
         for rows, texts in text_chunks(batches):
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for d, x in zip(rows.column(0).to_pylist(), enc.encode(texts), strict=True):
                 x = np.concatenate([x, end])
                 for k in range(0, len(x), capacity):
                     part = x[k : k + capacity]
-                    for col, v in zip(out, (d, k // capacity, k, len(part), crc_u32(part)), strict=True):
+                    n += 1
+                    for col, v in zip(out, (d, k // capacity, k, len(part), crc_u32(part), zlib.crc32(b"%d:%d" % (task, n))), strict=True):
                         col.append(v)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[*COLUMNS, "deal"])
 
-    return only_columns(docs, ("doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return only_columns(docs, ("doc_id", "text")).mapInArrow(run, f"{KINDS}, deal long")
 
 
-def sum_of_squares(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Runs (length, first rank, count, first sequence, offset) that place counts[c]
-    pieces of each length c, and the number of sequences."""
-    open_bins: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # gap: [first, count]
-    held = np.zeros(capacity + 1, np.int64)
-    runs = []
+def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece, pieces taken in the order given."""
+    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by gap
+    held = np.zeros(capacity + 1, np.int64)  # how many bins have it
+    held_at = np.zeros(len(lengths), np.int64)
+    offset = np.zeros(len(lengths), np.int64)
     used = 0
-    for c in range(capacity, 0, -1):
-        left, placed = int(counts[c]), 0
-        while left:
-            m = max(1, left >> SHARE)
-            fits = np.flatnonzero(held[c:capacity]) + c
-            if len(fits):
-                rest = fits - c
-                cost = np.where(rest > 0, 2 * held[rest] + 1, 0) + 1 - 2 * held[fits]
-                gap = int(fits[np.argmin(cost)])
-                span = open_bins[gap][-1]
-                m = min(m, span[1])
-                first = span[0]
-                span[0] += m
-                span[1] -= m
-                if not span[1]:
-                    open_bins[gap].pop()
-                held[gap] -= m
-            else:
-                gap, first = capacity, used
-                used += m
-            if gap > c:
-                open_bins[gap - c].append([first, m])
-                held[gap - c] += m
-            runs.append((c, placed, m, first, capacity - gap))
-            placed += m
-            left -= m
-    return np.array(runs, np.int64).reshape(-1, 5), used
-
-
-def ranked(rows: DataFrame, chunks: int = CHUNKS) -> DataFrame:
-    """rows with `rank`, from 0 within their length, counted in chunks by a hash of the
-    document: ranks inside a chunk by a window, chunks' bases from their counts."""
-    rows = rows.withColumn("_c", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("length", "_c").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy("length", "_c").orderBy("doc_id", "piece", "ids_crc32")
-    out = rows.withColumn("_r", F.row_number().over(inside) - 1)
-    return out.join(base.drop("_n"), ["length", "_c"]).withColumn("rank", F.col("_base") + F.col("_r")).drop("_c", "_r", "_base")
+    for i, c in enumerate(lengths.tolist()):
+        fits = np.flatnonzero(held[c:]) + c
+        if len(fits):
+            # how the sum changes: one bin less of a gap, one more of what it leaves
+            rest = fits - c
+            change = np.where(rest > 0, 2 * held[rest] + 1, 0) + 1 - 2 * held[fits]
+            gap = int(fits[np.argmin(change)])
+            at = open_bins[gap].pop()
+            held[gap] -= 1
+        else:
+            gap, at = capacity, used
+            used += 1
+        if gap > c:
+            open_bins[gap - c].append(at)
+            held[gap - c] += 1
+        held_at[i], offset[i] = at, capacity - gap
+    return held_at, offset
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (as of `pieces`, written and reread) with sequence_id and offset."""
-    counts = np.zeros(capacity + 1, np.int64)
-    n = 0
-    for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():
-        counts[r["length"]] = r["n"]
-        n += r["n"]
-    runs, _ = sum_of_squares(counts, capacity)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    # (length, rank) as one sortable number; ranks stay below 2^48
-    keys, first, offset = (runs[:, 0] << 48) + runs[:, 1], runs[:, 3] - runs[:, 1], runs[:, 4]
+    shards = rows.count() // SHARD_PIECES + 1
 
-    def run(batches):
-        for b in batches:
-            col = {k: np.asarray(b.column(k)) for k in ("length", "rank")}
-            at = np.searchsorted(keys, (col["length"] << 48) + col["rank"], "right") - 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.record_batch([*[b.column(k) for k in names], pa.array(first[at] + col["rank"], pa.int64()), pa.array(offset[at], pa.int64())], names=[*names, "sequence_id", "offset"])
-
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    out = ranked(rows, max(CHUNKS, n // 500_000)).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return out.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    def run(t: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+        at, offset = sum_of_squares(t.column("length").to_numpy(), capacity)
+        shard = t.column("shard")[0].as_py()
+        return t.select(COLUMNS).append_column("sequence_id", pa.array((shard << 40) + at)).append_column("offset", pa.array(offset))
+
+    dealt = rows.withColumn("shard", F.pmod(F.col("deal"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(run, f"{KINDS}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

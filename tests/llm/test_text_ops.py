@@ -317,8 +317,57 @@ def test_packing_places_everything(spark):
 
 def test_packing_of_nothing_and_equal_lengths(spark):
     assert packing.pack_documents(frame(spark, []), BPE).count() == 0
-    runs, used = packing.sum_of_squares(np.bincount([2048] * 3 + [1024] * 4 + [1000] * 5, minlength=2049), 2048)
-    assert used == 3 + 2 + 3 and runs[:, 2].sum() == 12
+    at, offset = packing.sum_of_squares(np.array([2048] * 3 + [1024] * 4 + [1000] * 5), 2048)
+    assert len(set(at)) == 3 + 2 + 3 and sorted(set(offset)) == [0, 1000, 1024]
+
+
+def brute_packing(lengths, capacity):
+    """Every piece tried in every open bin, the whole sum of squares taken each time."""
+    bins, out = [], []
+    for c in lengths:
+        best = None
+        for b, filled in enumerate(bins):
+            if filled + c <= capacity:
+                gaps: dict = {}
+                for k, f in enumerate(bins):
+                    gap = capacity - f - (c if k == b else 0)
+                    if gap:
+                        gaps[gap] = gaps.get(gap, 0) + 1
+                key = (sum(n * n for n in gaps.values()), capacity - filled)
+                if best is None or key < best[0]:
+                    best = (key, filled)
+        if best is None:
+            bins.append(c)
+            out.append(0)
+        else:
+            bins[bins.index(best[1])] += c
+            out.append(best[1])
+    return out, sorted(bins)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_by_brute_force_sums_of_squares(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([20, 50])
+    lengths = [rng.randint(1, capacity) for _ in range(120)]
+    if seed % 2:
+        lengths.sort(reverse=True)
+    at, offset = packing.sum_of_squares(np.array(lengths), capacity)
+    want, filled = brute_packing(lengths, capacity)
+    assert offset.tolist() == want
+    assert sorted(np.bincount(at, lengths).astype(int).tolist()) == filled
+
+
+def test_packing_in_shards(spark, monkeypatch):
+    """Many equal rows go to different shards, and every shard packs its own."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 40)
+    df = spark.createDataFrame([(7, "a b c " * 200)] * 200, "doc_id long, text string")
+    rows = packing.pack_documents(df, BPE).collect()
+    assert len(rows) == 200 and len({r["sequence_id"] >> 40 for r in rows}) == 6
+    places: dict = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append(r["offset"])
+    assert all(sorted(p) == [601 * k for k in range(len(p))] for p in places.values())
 
 
 # ---- op10
