@@ -7,8 +7,8 @@ fraction.
 
 Defined cases: a null or empty text has size 0 and may still be emitted (it adds no
 words); a null source is a source of its own, ordered last; rows that repeat an id get
-equal draws; an empty table gives an empty mix; extra columns are carried by `mix` and
-ignored by `allocation`.
+equal draws; a very long text is one row like any other; an empty table gives an empty mix;
+columns of any name are carried by `mix` and ignored by `allocation`.
 """
 
 from __future__ import annotations
@@ -81,8 +81,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, seed: str =
     """The mixed documents themselves, each as often as it is taken, with docs' columns."""
     sized = sizes_of(only_columns(docs, ("doc_id", "text", "source")))
     rates = staged(targets(sized, weights, max_rate).select("source", F.col("rate").alias("_rate")), "mix-rates")
-    out = with_rates(docs, rates).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("doc_id"), F.col("_rate"), seed))))
-    return out.select(*docs.columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    out = with_rates(held, rates).select("row", F.explode(F.array_repeat(F.lit(0), copies(F.col("doc_id"), F.col("_rate"), seed))))
+    return out.select("row.*")
 
 
 def op3_mixing(spark, sf_dir) -> DataFrame:

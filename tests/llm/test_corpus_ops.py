@@ -57,8 +57,10 @@ def test_mixing(spark):
     assert sum(want.values()) == pytest.approx(sum(sums.values()))
     again = {(r["doc_id"], r["taken"]) for r in mixing.allocation(df.repartition(7)).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in out}
+    df = df.withColumn("_rate", F.lit(7)).withColumn("_source", F.lit("s")).withColumn("_copy", F.lit(9)).withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r"))
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
+    assert {tuple(r)[3:] for r in mixed.collect()} <= {tuple(r)[3:] for r in df.collect()}
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["copies"] for r in out if r["copies"]})
 
 
