@@ -7,8 +7,14 @@ segment opens above OPEN and goes on while above CLOSE, both relative to the tex
 levels). They are kept as tensors of fixed shape (FRAMES x MELS, the last one padded with
 zeros, its true frames counted), each with the time span that it covers.
 
-Defined cases: a null or empty text is one block of zeros; equal texts have equal values;
-an empty table gives no rows; extra columns are ignored.
+Parquet has no tensors, so features are written as blocks: each row of the file is an
+Arrow stream of the tensors of some documents, in a column of the fixed-shape tensor type,
+with their spans and segments. `blocks` writes them, `tensors` reads them back as rows.
+
+Defined cases: a null or empty text is one block of zeros; a very long text is resampled
+and transformed in parts, and has as many tensors as it needs; equal texts have equal
+values; repeated rows are kept each; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from .common import only_columns, staged, table
 from .ids import text_chunks
 
 RATE = 8000
-UP, DOWN = 1, 2
+UP, DOWN = 3, 4
 TAPS = 8  # on each side, per output phase
 FRAME, HOP = 256, 128
 MELS = 16
@@ -167,54 +173,118 @@ def _chunks(batches, media: int):
             at = end
 
 
-def extract(stored: DataFrame) -> DataFrame:
-    """One row per tensor: doc_id, part, start_s, end_s, frames, mel (FRAMES * MELS
-    floats, a tensor of fixed shape in Arrow), and the text's segments on part 0."""
-    shape = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+#: A row for each tensor of a block: the number of its text in the block, its part, its
+#: span and true frames; the text's own columns and segments on part 0.
+SCHEMA = pa.schema(
+    [
+        ("text", pa.int32()),
+        ("part", pa.int32()),
+        ("start_s", pa.float64()),
+        ("end_s", pa.float64()),
+        ("frames", pa.int32()),
+        ("mel", TENSOR),
+        ("segments", pa.list_(SPAN)),
+    ]
+)
+
+
+def _block(medias: list[bytes]) -> bytes:
+    """The features of some stored texts as an Arrow stream."""
     step = HOP * DOWN / UP / RATE
-
-    def run(batches):
-        for b in _chunks(batches, 1):
-            cols = [[], [], [], [], []]
-            mels, spans = [], []
-            for d, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tensor, true, seg = features(media)
-                for k in range(len(tensor)):
-                    start = k * FRAMES * step
-                    for c, v in zip(cols, (d, k, start, start + int(true[k]) * step, int(true[k])), strict=True):
-                        c.append(v)
-                    spans.append([{"start_s": float(s), "end_s": float(e)} for s, e in seg] if not k else [])
-                mels.append(tensor)
-            flat = np.ascontiguousarray(np.concatenate(mels).reshape(-1, FRAMES * MELS))
-            fixed = pa.ExtensionArray.from_storage(shape, pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), FRAMES * MELS))
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
-            yield pa.record_batch(
-                [*[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], fixed.storage.cast(pa.list_(pa.float32())), pa.array(spans, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))],
-                names=["doc_id", "part", "start_s", "end_s", "frames", "mel", "segments"],
-            )
-
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, part int, start_s double, end_s double, frames int, mel array<float>, segments array<struct<start_s:double,end_s:double>>")
-
-
-def digests(stored: DataFrame) -> DataFrame:
-    """Per text, of the stored bytes: sizes, hashes and one string of its features."""
+    cols, mels = [[], [], [], [], [], []], []
+    for i, media in enumerate(medias):
+        tensor, true, seg = features(media)
+        for k in range(len(tensor)):
+            start = k * FRAMES * step
+            spans = [{"start_s": float(a), "end_s": float(b)} for a, b in seg] if not k else []
+            for c, v in zip(cols, (i, k, start, start + int(true[k]) * step, int(true[k]), spans), strict=True):
+                c.append(v)
+        mels.append(tensor)
+    flat = np.concatenate(mels).reshape(-1)
+    mel = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * MELS))
+    arrays = [pa.array(c, SCHEMA.field(n).type) for c, n in zip(cols, ("text", "part", "start_s", "end_s", "frames", "segments"), strict=True)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SCHEMA) as out:
+        out.write_batch(pa.record_batch([*arrays[:5], mel, arrays[5]], schema=SCHEMA))
+    return sink.getvalue().to_pybytes()
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+BLOCKS = f"texts array<struct<{DIGESTS.replace(' long', ':long').replace(' string', ':string')}>>, block binary"
+
+
+def blocks(stored: DataFrame) -> DataFrame:
+    """(texts, block): what is said of some texts, read from the stored bytes, and the
+    Arrow stream of their features."""
+    names = [x.split()[0] for x in DIGESTS.split(", ")]
+    kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGESTS.split(", ")]
+    row = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
 
     def run(batches):
         for b in _chunks(batches, 2):
-            out = [[] for _ in range(6)]
-            for media in b.column(2).to_pylist():
+            medias = b.column(2).to_pylist()
+            said = []
+            for d, n, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), medias, strict=True):
                 _, payload = from_wav(media)
-                tensor, true, seg = features(media)
-                mark = hashlib.blake2b(tensor.tobytes() + true.astype("<i8").tobytes() + seg.astype("<f8").tobytes(), digest_size=12).hexdigest()
-                level = float(tensor.reshape(-1, MELS)[: int(true.sum())].mean())
-                got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"parts={len(tensor)};frames={int(true.sum())};segments={len(seg)};speech_s={float((seg[:, 1] - seg[:, 0]).sum()):.3f};level={level:.3f};tensors={mark}")
-                for c, v in zip(out, got, strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                values = (d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+                said.append(dict(zip(names, values, strict=True)))
+            yield pa.record_batch([pa.array([said], row), pa.array([_block(medias)], pa.binary())], names=["texts", "block"])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, BLOCKS)
+
+
+def _read(block: bytes):
+    """The table of a block, and its tensors as one array."""
+    t = pa.ipc.open_stream(block).read_all().combine_chunks()
+    if t.schema.field("mel").type != TENSOR:
+        raise ValueError("not a column of tensors of this shape")
+    return t, t.column("mel").chunk(0).to_numpy_ndarray()
+
+
+def tensors(written: DataFrame) -> DataFrame:
+    """One row per tensor of written blocks: doc_id, part, start_s, end_s, frames, mel
+    (FRAMES * MELS floats), and the text's segments on part 0."""
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(batches):
+        for b in batches:
+            for texts, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t, mel = _read(block)
+                ids = pa.array([texts[i]["doc_id"] for i in t.column("text").to_pylist()], pa.int64())
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(mel.reshape(-1)), FRAMES * MELS).cast(pa.list_(pa.float32()))
+                cols = [t.column(n).combine_chunks() for n in ("part", "start_s", "end_s", "frames")]
+                yield pa.record_batch([ids, *cols, flat, t.column("segments").combine_chunks()], names=["doc_id", "part", "start_s", "end_s", "frames", "mel", "segments"])
+
+    return written.select("texts", "block").mapInArrow(run, "doc_id long, part int, start_s double, end_s double, frames int, mel array<float>, segments array<struct<start_s:double,end_s:double>>")
+
+
+def digests(written: DataFrame) -> DataFrame:
+    """Per text of written blocks: its columns, and one string of its features, from the
+    tensors and spans."""
+
+    def run(batches):
+        for b in batches:
+            for texts, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t, mel = _read(block)
+                part, text, frames = (t.column(n).to_numpy() for n in ("part", "text", "frames"))
+                spans = t.column("segments").to_pylist()
+                first = np.r_[np.flatnonzero(part == 0), len(part)].tolist()
+                out = []
+                for a, e in zip(first[:-1], first[1:], strict=True):
+                    own, true = mel[a:e], frames[a:e]
+                    seg = np.array([[s["start_s"], s["end_s"]] for s in spans[a]], "<f8").reshape(-1, 2)
+                    mark = hashlib.blake2b(own.astype("<f4").tobytes() + true.astype("<i8").tobytes() + seg.tobytes(), digest_size=12).hexdigest()
+                    level = float(own.reshape(-1, MELS)[: int(true.sum())].mean())
+                    feature = f"parts={e - a};frames={int(true.sum())};segments={len(seg)};speech_s={float((seg[:, 1] - seg[:, 0]).sum()):.3f};level={level:.3f};tensors={mark}"
+                    out.append({**texts[text[a]], "feature": feature})
+                names = [*texts[0], "feature"]
+                kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
+                yield pa.record_batch([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    return written.select("texts", "block").mapInArrow(run, f"{DIGESTS}, feature string")
 
 
 def op10_media(spark, sf_dir) -> DataFrame:
-    return digests(staged(store(table(spark, sf_dir, "documents")), "media"))
+    stored = staged(store(table(spark, sf_dir, "documents")), "media")
+    return digests(staged(blocks(stored), "media-features"))

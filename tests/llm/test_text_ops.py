@@ -374,7 +374,7 @@ def test_packing_in_shards(spark, monkeypatch):
 
 
 def test_media_round_trip(spark):
-    rows = media.digests(media.store(frame(spark, media=1))).collect()
+    rows = media.digests(media.blocks(media.store(frame(spark, media=1)))).collect()
     for r in rows:
         raw = (TEXTS[r["doc_id"]] or "").encode()
         pad = raw + b"\0" * (-len(raw) % 64 if raw else 64)
@@ -383,9 +383,56 @@ def test_media_round_trip(spark):
         assert (r["media_bytes"], r["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest())
     same = {r["feature"] for r in rows if TEXTS[r["doc_id"]] == "same text here"}
     assert len(same) == 1
-    parts = media.extract(media.store(frame(spark))).collect()
-    assert all(len(p["mel"]) == media.FRAMES * media.MELS for p in parts)
-    assert media.digests(media.store(frame(spark, []))).count() == 0
+    assert media.digests(media.blocks(media.store(frame(spark, [])))).count() == 0
+
+
+def test_media_tensors_read_back(spark):
+    parts = media.tensors(media.blocks(media.store(frame(spark)))).collect()
+    for i, text in enumerate(TEXTS):
+        own = sorted((p for p in parts if p["doc_id"] == i), key=lambda p: p["part"])
+        tensor, true, seg = media.features(media.to_wav(media.padded((text or "").encode())))
+        assert [p["part"] for p in own] == list(range(len(tensor)))
+        assert [p["frames"] for p in own] == true.tolist()
+        assert np.array_equal(np.array([p["mel"] for p in own], np.float32).reshape(tensor.shape), tensor)
+        assert [(s["start_s"], s["end_s"]) for s in own[0]["segments"]] == [tuple(x) for x in seg.tolist()]
+        step = media.HOP * media.DOWN / media.UP / media.RATE
+        assert own[0]["start_s"] == 0 and all(a["end_s"] == pytest.approx(b["start_s"]) for a, b in zip(own, own[1:], strict=False))
+        assert own[-1]["end_s"] == pytest.approx(int(true.sum()) * step)
+
+
+def test_log_mel_by_its_definition():
+    """Sums over samples and bins, one frame at a time."""
+    rate, rng = 6000.0, np.random.default_rng(3)
+    y = rng.normal(size=700).astype(np.float32)
+    got = media.log_mel(y, rate)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(20.0) + (mel(rate / 2) - mel(20.0)) * k / (media.MELS + 1)) / 2595) - 1) for k in range(media.MELS + 2)]
+    n = media.FRAME
+    for f in range(len(got)):
+        x = [float(y[f * media.HOP + i]) if f * media.HOP + i < len(y) else 0.0 for i in range(n)]
+        x = np.array([v * (0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1))) for i, v in enumerate(x)])
+        power = [abs((x * np.exp(-2j * np.pi * b * np.arange(n) / n)).sum()) ** 2 for b in range(n // 2 + 1)]
+        for m in range(media.MELS):
+            a, c, e = edges[m : m + 3]
+            total = sum(p * max(0.0, min((b * rate / n - a) / (c - a), (e - b * rate / n) / (e - c))) for b, p in enumerate(power))
+            assert got[f, m] == pytest.approx(np.log(total + 1e-6), abs=2e-3)
+    assert len(got) == 5
+
+
+def test_segments_by_their_definition():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        e = rng.random(rng.integers(1, 60))
+        level = (e - e.min()) / (e.max() - e.min()) if len(e) > 1 else np.zeros(1)
+        want, k = [], 0
+        while k < len(e):  # runs above CLOSE, kept if one frame reaches OPEN
+            end = k
+            while end < len(e) and level[end] >= media.CLOSE:
+                end += 1
+            if end > k and max(level[k:end]) >= media.OPEN:
+                want.append([k, end])
+            k = max(end, k + 1)
+        assert media.segments(e).tolist() == want
 
 
 @pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 4), (2, 1), (1, 1)])
