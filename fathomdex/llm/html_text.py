@@ -10,15 +10,21 @@ A maximum flow finds the cheapest labelling; the blocks on the source side are t
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by one space in page order.
 
+What a browser does not show is no text: scripts, styles, comments, controls, and what
+stands in elements for browsers that cannot show them (RAW below). Formulas and the text of
+drawings are text.
+
 Defined cases: null or empty html, or a page without content, gives an empty text;
-unclosed and stray tags, and pages cut off anywhere, are read as far as they go; repeated
-rows are read each; an empty table gives no rows; extra columns are ignored.
+unclosed and stray tags, and pages cut off anywhere, are read as far as they go; very long
+and deeply nested pages take time in proportion to their length, as an element's text is
+added up once and end tags look their element up by counts of open ones; repeated rows are
+read each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 from math import exp, log1p
 
@@ -34,14 +40,16 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select option title head".split())
+RAW = frozenset("script style noscript template iframe object canvas audio video textarea select option title desc head".split())
 #: Those of them that reach to the page's end where their end tag is missing.
 TO_THE_END = frozenset("script style textarea title".split())
 #: An option's end tag may be left out before the next one and its parent's end.
 _OPTION_END = re.compile(r"</option\s*>|(?=<(?:option|optgroup)\b|</(?:select|datalist|optgroup)\b)", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms mtext mspace msub msup msubsup mfrac msqrt mroot munder mover munderover semantics tspan".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("nav footer aside form header menu dialog button fieldset article main section".split())
+#: Elements that a new one inside does not look beyond for one to end.
+BOXES = SECTIONS | frozenset("div table ul ol dl blockquote".split())
 #: Elements that end an open one of the same group.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -60,10 +68,13 @@ SMOOTH, DECAY, ACROSS = 0.9, 0.6, 0.05
 
 
 class _Element:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "depth", "chars", "heading", "mark")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "depth", "chars", "heading", "mark", "box", "room")
 
     def __init__(self, tag, parent, attrs=""):
         self.tag, self.parent = tag, parent
+        # open elements, by tag, that an end tag or a new element here may end
+        self.box = Counter() if parent is None or tag in BOXES else parent.box
+        self.room = Counter() if parent is None or tag in SECTIONS else parent.room
         self.depth = parent.depth + 1 if parent else 0
         self.chars, self.heading, self.mark = 0, False, None
         self.names, self.role, self.hidden = frozenset(), "", False
@@ -90,6 +101,8 @@ def blocks(html: str) -> list[_Block]:
     """The page's text blocks in order; elements know how much text they hold."""
     root = _Element("html", None)
     here = root  # the innermost open element
+    every: list[_Element] = []
+    sections: Counter = Counter()  # open ones
     out: list[_Block] = []
     held: list[str] = []
     links = heading = 0
@@ -102,11 +115,8 @@ def blocks(html: str) -> list[_Block]:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                e = here
-                out.append(_Block(text, e, min(links, len(text)), bool(heading)))
-                while e:
-                    e.chars += len(text)
-                    e = e.parent
+                here.chars += len(text)
+                out.append(_Block(text, here, min(links, len(text)), bool(heading)))
         links = 0
 
     def add(s):
@@ -115,6 +125,31 @@ def blocks(html: str) -> list[_Block]:
         if in_link:
             links += len(s)
 
+    def opened(e):
+        nonlocal here
+        every.append(e)
+        if e.tag in SECTIONS:
+            sections[e.tag] += 1
+        else:
+            e.room[e.tag] += 1
+            if e.tag not in BOXES:
+                e.box[e.tag] += 1
+        here = e
+
+    def closed(last):
+        """Ends the open elements up to `last`."""
+        nonlocal here
+        while True:
+            e, here = here, here.parent
+            if e.tag in SECTIONS:
+                sections[e.tag] -= 1
+            else:
+                e.room[e.tag] -= 1
+                if e.tag not in BOXES:
+                    e.box[e.tag] -= 1
+            if e is last:
+                return
+
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
@@ -134,12 +169,13 @@ def blocks(html: str) -> list[_Block]:
                 in_link = 0 if closing else 1
             if closing and here.tag == tag:  # an inline element that was opened as a block
                 end_block()
-                here = here.parent
+                if here is not root:
+                    closed(here)
             elif not closing and ("class" in m[4] or "id" in m[4]):
                 e = _Element(tag, here, m[4])
                 if e.names & BOILER_NAMES:
                     end_block()
-                    here = e
+                    opened(e)
             continue
         if tag == "br" or tag in VOID:
             held.append(" ")
@@ -162,33 +198,30 @@ def blocks(html: str) -> list[_Block]:
         end_block()
         in_link = 0
         if closing:
-            e = here
-            while e is not root and e.tag != tag:
-                if e.tag in SECTIONS and tag not in SECTIONS and tag not in ("body", "html"):
-                    e = root  # a stray end tag does not reach out of a section
-                    break
-                e = e.parent
-            if e is not root:
-                here = e.parent
+            # a stray end tag does not reach out of a section
+            if (sections if tag in SECTIONS else here.room)[tag] > 0:
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                closed(e)
             heading = 0
             continue
         if tag in ("html", "body"):
             continue
         same = CLOSES.get(tag) or ({"p"} if tag not in INLINE else set())
-        e = here
-        while e is not root and e.tag not in SECTIONS and e.tag not in ("div", "table", "ul", "ol", "dl", "blockquote"):
-            if e.tag in same:
-                here = e.parent
-                break
-            e = e.parent
-        here = _Element(tag, here, m[4])
-        heading = tag in HEADINGS
-        if tag == "h1":
+        if any(here.box[t] > 0 for t in same):
             e = here
-            while e:
-                e.heading = True
+            while e.tag not in same:
                 e = e.parent
+            closed(e)
+        e = _Element(tag, here, m[4])
+        opened(e)
+        heading = tag in HEADINGS
+        e.heading = tag == "h1"
     end_block()
+    for e in reversed(every):
+        e.parent.chars += e.chars
+        e.parent.heading |= e.heading
     return out
 
 

@@ -224,6 +224,30 @@ def test_html_structures():
     assert html_text.main_text(deep) == "some words in a very deep place of the page"
 
 
+def test_html_formulas_and_drawings_are_text():
+    page = "<article><p>some words of an article with <math><mi>x</mi><mo>=</mo><mn>1</mn></math> in it, and more</p><svg><title>t</title><text>a label of a drawing</text></svg></article>"
+    assert html_text.main_text(page) == "some words of an article with x=1 in it, and more a label of a drawing"
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 20_000, "<section><b class=ad>x</section></div></p>" * 8_000, "<center>y <p>" * 8_000, "<ul><li>" * 9_000 + "</ol>" * 9_000, "<div><section>" + "<i>" * 9 + "z</div></div>" * 12_000])
+def test_html_of_deep_and_hostile_pages_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 3
+
+
+def test_html_without_article_elements(spark):
+    """The shares of pages read right when their article is a plain division, and when it
+    is one by its class only."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_text.main_text(p) for p in pages]
+    for name in ("<div>", '<div class="post">'):
+        got = [html_text.main_text(p.replace("<article>", name).replace("</article>", "</div>")) for p in pages]
+        assert np.mean([g == w for g, w in zip(got, want, strict=True)]) > 0.9, name
+
+
 def test_html_elements_without_end_tags():
     text = "some words of an article that is long enough to be its text"
     article = f"<article><p>{text}</p></article>"
