@@ -7,8 +7,9 @@ into the list while it is precise on both. The list becomes one ordered conditio
 expression. Counting runs as Spark aggregates over all labelled rows; the driver sees
 only histograms of fixed size.
 
-Defined cases: a null or empty text has zeros everywhere and fails the base checks;
-repeated rows are judged alike; without labels, or with one class only, the list is
+Defined cases: a null or empty text has zeros everywhere and fails the base checks; a very
+long text is one row like any other (its words must fit in a task's memory); repeated rows
+are judged alike; without labels, or with one class only, the list is
 empty and only the base checks decide; extra columns are carried by `filter_quality`.
 """
 
@@ -33,43 +34,59 @@ MIN_COVERED = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_marks", "n_upper")
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words in 3-word windows found twice or more, of an array of word hashes.
+def _repeat_words(words: Column, hashes: Column, key=F.xxhash64) -> Column:
+    """Words in 3-word windows found twice or more, of a text's words and their hashes.
 
     The windows' hashes are sorted with their positions in the low bits (so many as the
-    text needs); equal neighbours are repeats, and the covered words are the union of the
-    3-word intervals at the repeats' sorted positions.
+    text needs). Neighbours with the same high bits and the same three words are repeats,
+    and the covered words are the union of the 3-word intervals at the repeats' sorted
+    positions. Where neighbours have the same high bits and other words, the windows
+    themselves are sorted instead.
     """
 
+    def same(a: Column, b: Column) -> Column:
+        out = F.get(words, a) == F.get(words, b)
+        for k in (1, 2):
+            out = out & (F.get(words, a + k) == F.get(words, b + k))
+        return out
+
+    def union(at: Column) -> Column:
+        last = F.lit(3)
+        steps = F.transform(at, lambda x, j: F.least(last.cast("long"), F.coalesce(F.get(at, j + 1) - x, last.cast("long"))))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def repeats(sorted_: Column, place, alike) -> Column:
+        """Sorted positions of the windows of which a neighbour is the same."""
+        near = lambda j, k: F.coalesce(alike(F.get(sorted_, k), F.get(sorted_, j)), F.lit(False))
+        return F.sort_array(F.array_compact(F.transform(sorted_, lambda x, j: F.when(near(j, j - 1) | near(j, j + 1), place(x)))))
+
     def covered(win: Column) -> Column:
         n = F.size(win)
         k = F.length(F.bin(n.cast("long")))
         low = F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1
 
-        def marked(keys_low: Column) -> Column:
-            keys, mask = keys_low["keys"], keys_low["low"]
-            high = lambda j: F.get(keys, j).bitwiseAND(F.bitwise_not(mask))
-            at = F.transform(
-                keys,
-                lambda x, j: F.when((F.coalesce(high(j - 1) == high(j), F.lit(False))) | (F.coalesce(high(j + 1) == high(j), F.lit(False))), x.bitwiseAND(mask)),
-            )
-            return F.sort_array(F.array_compact(at))
+        def fast(s: Column) -> Column:
+            keys, mask = s["keys"], s["low"]
+            place = lambda x: x.bitwiseAND(mask)
+            equal = lambda x, y: x.bitwiseAND(F.bitwise_not(mask)) == y.bitwiseAND(F.bitwise_not(mask))
+            here = lambda x: place(x).cast("int")
+            confused = F.exists(F.sequence(F.lit(1), F.size(keys) - 1), lambda j: equal(F.get(keys, j - 1), F.get(keys, j)) & ~same(here(F.get(keys, j - 1)), here(F.get(keys, j))))
+            return F.when(confused, slow()).otherwise(bind(repeats(keys, place, equal), union))
 
-        def union(at: Column) -> Column:
-            last = F.lit(3)
-            steps = F.transform(at, lambda x, j: F.least(last.cast("long"), F.coalesce(F.get(at, j + 1) - x, last.cast("long"))))
-            return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+        def slow() -> Column:
+            spelled = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.cast("long").alias("i")))
+            return bind(F.sort_array(spelled), lambda x: bind(repeats(x, lambda y: y["i"], lambda a, b: a["w"] == b["w"]), union))
 
         keys = F.sort_array(F.transform(win, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-        return bind(F.struct(keys.alias("keys"), low.alias("low")), lambda s: bind(marked(s), union))
+        return bind(F.struct(keys.alias("keys"), low.alias("low")), fast)
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 3), lambda i: key(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
     some = F.when(F.size(hashes) >= 4, bind(windows, lambda win: F.when(F.size(F.array_distinct(win)) < F.size(win), covered(win)).otherwise(F.lit(0).cast("long"))))
     return F.coalesce(some, F.lit(0).cast("long"))
 
 
-def stats(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns of COUNTS, each long, prefixed by nothing; text is kept."""
+def stats(df: DataFrame, text: str = "text", key=F.xxhash64) -> DataFrame:
+    """df with the columns of COUNTS, each long; text is kept. key hashes windows of words."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of(s: Column) -> Column:
@@ -84,7 +101,7 @@ def stats(df: DataFrame, text: str = "text") -> DataFrame:
                 F.length(joined).cast("long").alias("word_chars"),
                 F.length(F.regexp_replace(s["t"], SYMBOLS, "")).cast("long").alias("n_symbols"),
                 bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("l"),
-                _repeat_words(h).alias("n_repeat_words"),
+                _repeat_words(words, h, key).alias("n_repeat_words"),
                 F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
                 (F.length(s["t"]) - F.length(F.replace(s["t"], F.lit("!"), F.lit("")))).cast("long").alias("n_marks"),
                 F.length(F.regexp_replace(s["t"], r"[^A-Z]+", "")).cast("long").alias("n_upper"),

@@ -156,9 +156,12 @@ def brute_stats(t):
 def test_quality_statistics(spark):
     rng = random.Random(5)
     texts = TEXTS + [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["\n".join(rng.choice(["x y", " x y", "", "\t", "z"]) for _ in range(9)) for _ in range(20)]
-    rows = quality.stats(frame(spark, texts)).collect()
-    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows}
-    assert got == {i: brute_stats(t) for i, t in enumerate(texts)}
+    texts.append(" ".join(rng.choice("abcdefgh") for _ in range(20_000)))
+    # every window alike to the hash, some, and as it is
+    for key in (lambda *a: F.lit(0).cast("long"), lambda *a: F.pmod(F.xxhash64(*a), F.lit(5)) * (1 << 40), F.xxhash64):
+        rows = quality.stats(frame(spark, texts), key=key).collect()
+        got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows}
+        assert got == {i: brute_stats(t) for i, t in enumerate(texts)}
 
 
 def test_quality_learns_a_threshold(spark):
