@@ -3,6 +3,14 @@
 Each stage reads what the one before it kept, written as Parquet in the folder that all
 executors share, and takes effect there. All but the last return the columns of
 documents.
+
+Defined cases: null and empty texts fail the base checks of the first stage; rows that
+repeat an id count as one document for near duplicates, of which one row stays, and rows
+of equal texts have one fate before that; null ids are kept as documents of their own for
+each text; a very long text is one row until the last stage cuts it; without labels nothing
+is learned and only the base checks and copies take rows out; an empty table gives no rows;
+extra columns of any name are carried up to the last stage. Each operator's module says
+more.
 """
 
 from __future__ import annotations
@@ -49,7 +57,7 @@ STAGES = [
 ]
 
 #: The learned rules, the compression scores and the packing are not expressible in SQL;
-#: tests/llm holds the stages against brute force instead.
+#: test_pipeline_stages_by_brute_force holds each stage's rows against plain Python.
 ORACLE_SQL = None
 
 
