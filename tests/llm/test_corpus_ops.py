@@ -1,5 +1,6 @@
 """Operators over whole corpora: mixing, near duplicates, toxicity, the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -353,6 +354,70 @@ def test_pipeline_stages(spark):
     assert 0 < seen[-1] < 200
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage's rows from its own input, by plain Python; the learned list and the
+    learned scores are those of the operators' fits on that input."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fathomdex.llm import quality
+    from tests.llm.test_text_ops import brute_stats
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r"))
+    rows = {n: sorted(x.collect(), key=str) for n, x in [("in", docs)]}
+    first = docs
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d).cache()
+        rows[name] = sorted(docs.collect(), key=str)
+    old = {n: list(rows)[list(rows).index(n) - 1] for n in list(rows)[1:]}
+
+    def text_of(n):
+        return {r["doc_id"]: r["text"] for r in rows[old[n]]}
+
+    # quality: the base checks by hand, the list's verdict by its statistics
+    rule = {r["doc_id"]: r["rule"] for r in quality.assess(first, labels).collect()}
+    stats = {i: brute_stats(t) for i, t in text_of("quality_rules").items()}
+    good = {i for i, s in stats.items() if s[0] >= 50 and 100 * s[4] <= 50 * s[0] and rule[i] is None}
+    assert [r for r in rows["in"] if r["doc_id"] in good] == rows["quality_rules"]
+    # toxicity: every window of every text
+    kept = spark.createDataFrame(rows["quality_rules"], first.schema)
+    model = toxicity.fit(kept, labels)
+    good = {i for i, t in text_of("toxicity").items() if brute_score(t, model) < 0.5}
+    assert [r for r in rows["quality_rules"] if r["doc_id"] in good] == rows["toxicity"]
+    # near duplicates: all pairs
+    comp = brute_components(sorted(text_of("near_duplicates").items()))
+    assert [r for r in rows["toxicity"] if comp[r["doc_id"]][1] == r["doc_id"]] == rows["near_duplicates"]
+    # mixing: targets by resharing, draws by the hash
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in rows["near_duplicates"]}
+    sums = Counter()
+    for r in rows["near_duplicates"]:
+        sums[r["source"]] += size[r["doc_id"]]
+    target, want = water_fill(sums), []
+    for r in rows["near_duplicates"]:
+        rate = min(3.0, target[r["source"]] / sums[r["source"]])
+        draw = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+        want += [r] * (int(rate) + (draw < rate - int(rate)))
+    assert want == rows["mixing"]
+    # packing: every copy's ids, and no sequence over its capacity
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts, pieces, filled = text_of("packing"), Counter(), Counter()
+    copies = Counter(r["doc_id"] for r in rows["mixing"])
+    for r in rows["packing"]:
+        pieces[r["doc_id"], r["piece"], r["length"], r["ids_crc32"]] += 1
+        filled[r["sequence_id"]] += r["length"]
+    want = Counter()
+    for i, n in copies.items():
+        ids = np.array([*tok.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())] += n
+    assert pieces == want and max(filled.values()) <= 2048
+    assert len(filled) <= -(-sum(filled.values()) // 2048) * 1.01 + 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
