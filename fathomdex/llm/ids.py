@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from .word_hash import distinct, hashed_pieces, same
 
 #: Pieces that a worker remembers.
-MEMO = 600_000
+MEMO = 300_000
 #: Bytes of text encoded at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: The word pattern of the public tokenizer (a fixed value). Pieces are cut by its rules.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

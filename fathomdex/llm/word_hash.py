@@ -19,7 +19,7 @@ PART = 1 << 20
 #: Longer words are hashed and compared one by one.
 LONG = 256
 #: Words whose strong hashes a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 #: By a count of bytes, up to 8: a mask of as many low bytes.
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
 _known: dict[bytes, int] = {}
