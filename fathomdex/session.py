@@ -1,13 +1,15 @@
-"""Getting this package to the Python workers."""
+"""Getting this package to the Python workers, and the folder that they share."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -28,3 +30,38 @@ def ship_package(spark: SparkSession) -> None:
     shutil.copytree(Path(__file__).parent, top / "tree" / "fathomdex", ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(str(top / "fathomdex"), "zip", top / "tree"))
     shutil.rmtree(top / "tree")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset
+    (tests on one machine), a temporary folder is made once and put there."""
+    ship_package(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="fathomdex-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        import atexit
+
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/fathomdex-{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: it cuts the lineage
+    and survives lost executors."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def joined(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """df joined to a table that is small as a rule: up to a checked number of its rows it
+    is broadcast, larger ones are joined by shuffle."""
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(small) if few else small, on, how)

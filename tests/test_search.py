@@ -310,6 +310,75 @@ def test_streaming_upsert(spark, tmp_path):
     assert {r["key"]: r["v"] for r in latest_per_key(rows, "key", "t").collect()} == {1: "c", 2: "b"}
 
 
+def test_store_goes_on_after_a_restart_and_a_replay(spark, tmp_path):
+    """A new object on the folder finds everything; a batch that runs again changes
+    nothing; folders that nothing names are deleted."""
+    frame = lambda rows: spark.createDataFrame(rows, "key int, v string, t int")
+    schema = frame([(0, "", 0)]).schema
+    opened = lambda: KeyedStore(spark, str(tmp_path / "store"), "key", schema, buckets=4)
+    rows = lambda: {(r["key"], r["v"]) for r in opened().read().collect()}
+    assert rows() == set()
+    assert {r[0] for r in opened().upsert(frame([(i, "a", 1) for i in range(20)]), 0, "t").collect()} == set(range(20))
+    for _ in range(2):
+        told = opened().upsert(frame([(1, "b", 2), (2, "old", 0), (99, "b", 2), (None, "n", 1)]), 1, "t")
+        assert {r[0] for r in told.collect()} == {1, 2, 99, None}
+        assert rows() == {(i, "b" if i == 1 else "a") for i in range(20)} | {(99, "b"), (None, "n")}
+    opened().upsert(frame([]), 2, "t")
+    before = rows()
+    for k in range(3, 8):
+        opened().upsert(frame([(3, f"v{k}", k)]), k)
+    assert rows() == {x for x in before if x[0] != 3} | {(3, "v7")}
+    assert opened().manifests() == [5, 6, 7]
+    # half a batch: rows without a manifest
+    frame([(1, "x", 1)]).write.parquet(str(tmp_path / "store" / "batch-000000000008-x" / "_bucket=1"))
+    assert rows() == {x for x in before if x[0] != 3} | {(3, "v7")}
+
+
+def test_clusters_of_search_results(spark):
+    """k-means over the vectors of found documents, which are a plan of many joins."""
+    from fathomdex import queries as engine
+
+    got = engine.QUERIES["cluster_results"](spark, "/root/testdata/sf0.01").collect()
+    found_ = engine.docs_index(spark, "/root/testdata/sf0.01").search(A.Term("idiot")).df.count()
+    assert len(got) == found_ and {r["cluster"] for r in got} <= {-1, 0, 1, 2}
+    rows = spark.createDataFrame([(1, [])], "key int, features array<double>")
+    from fathomdex.operators.clustering import kmeans
+
+    assert [tuple(r) for r in kmeans(rows, 2).collect()] == [(1, -1, None)]
+
+
+def test_two_terms_by_brute_force(spark):
+    """The plan's least penalty of two terms' positions, against all windows."""
+    import random
+
+    from fathomdex.plans import compile as C
+
+    rng = random.Random(4)
+    rows = [(i, sorted(rng.sample(range(1, 60), rng.randint(0, 9))), sorted(rng.sample(range(1, 60), rng.randint(0, 9)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, p0 array<int>, p1 array<int>")
+    for size, ordered in ((3, False), (10, True), (150, False), (2, True)):
+        got = {r["i"]: r["x"] for r in df.select("i", C._pair_penalty(size, ordered).alias("x")).collect()}
+        for i, a, b in rows:
+            want = C.least_penalty([a, b], size, ordered, 0)
+            assert (got[i] is None and want is None) or got[i] == pytest.approx(want), (i, a, b, size, ordered)
+
+
+def test_weightings_of_one_index(spark, docs, index, tmp_path):
+    """A saved index scores by any weighting as one that was built with it."""
+    from fathomdex.operators.vectors import find_similar, vector_of
+    from fathomdex.operators.weights import weightings
+
+    index.save(str(tmp_path / "ix"))
+    saved = Index.load(spark, str(tmp_path / "ix"))
+    scores = lambda rs: {r["key"]: pytest.approx(r["score"]) for r in rs.df.collect()}
+    for w in weightings():
+        own = Index(index.docs, list(index.fields.values()), index.key, index.postings, w)
+        for ix in (saved.using(w), index.using(w)):
+            assert scores(ix.search(A.any_terms("java", "build"))) == {k: v.expected for k, v in scores(own.search(A.any_terms("java", "build"))).items()}
+            key = index.docs.first()[index.key]
+            assert scores(find_similar(ix, vector_of(ix, key))) == {k: v.expected for k, v in scores(find_similar(own, vector_of(own, key))).items()}
+
+
 def test_field_options(index, docs):
     """Default fields restrict what names none; multipliers raise a field's occurrences."""
     assert found(index, "<exact> java", fields=["body"]) == {k for k, _, b, *_ in docs if "java" in b.split()}
