@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .vectors import vectors
 
 #: Most elements that the quadratic methods cluster in one task; more go in rounds.
@@ -42,7 +43,11 @@ def kmeans(rows: DataFrame, k: int, seed: int = 17, rounds: int = 50) -> DataFra
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    # every round reads the rows again
+    rows = staged(rows.select("key", "features"), "kmeans")
     full = rows.filter(F.size("features") > 0)
+    if not full.limit(1).count():
+        return rows.select("key", F.lit(-1).alias("cluster"), F.lit(None).cast("double").alias("distance"))
     data = full.select("key", "features", array_to_vector("features").alias("v"))
     model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v", predictionCol="cluster").fit(data)
     centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")

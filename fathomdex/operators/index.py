@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .weights import TFIDF, Weighting
+from ..session import BROADCAST_ROWS, joined
+from .weights import TFIDF, Weighting, weightings
 
 TYPES = {"none": None, "string": "string", "integer": "bigint", "float": "double", "date": "timestamp", "vector": "array<double>"}
 #: What a missing value counts as in a sort.
@@ -82,16 +84,32 @@ class Index:
     """Documents with their postings, statistics and vector lengths, all lazy. `save`
     writes them clustered by term, so that a query's scan skips row groups."""
 
-    def __init__(self, docs: DataFrame, fields: Sequence[FieldSpec], key: str = "key", postings: DataFrame | None = None, weighting: Weighting | None = None, lengths: DataFrame | None = None, terms: DataFrame | None = None, counts: dict | None = None):
+    def __init__(self, docs: DataFrame, fields: Sequence[FieldSpec], key: str = "key", postings: DataFrame | None = None, weighting: Weighting | None = None, lengths: DataFrame | None = None, terms: DataFrame | None = None, counts: dict | None = None, stored: DataFrame | None = None):
         self.fields = {f.name: f for f in fields}
         self.key = key
         self.docs = docs
         self.weighting = weighting or TFIDF()
+        self._stored = stored
+        self._saved_lengths = lengths
+        if stored is not None:  # a saved index: lengths of all weightings, of which one counts
+            postings, lengths = (self._with_length(x) for x in (stored, lengths))
         self.postings = postings if postings is not None else postings_of(docs, key, fields)
         self._lengths = lengths
         self._terms = terms
         self._counts = counts or {}
 
+    def _with_length(self, saved: DataFrame) -> DataFrame:
+        names = [f"dvl_{w.name}" for w in weightings()]
+        others = [F.col(c) for c in saved.columns if c not in names]
+        return saved.select(*others, F.col(f"dvl_{self.weighting.name}").alias("dvl"))
+
+    def using(self, weighting: Weighting) -> Index:
+        """The same documents and postings, weighted otherwise. A saved index has the
+        vectors' lengths of every weighting."""
+        if self._stored is not None:
+            return Index(self.docs, list(self.fields.values()), self.key, None, weighting, self._saved_lengths, self._terms, self._counts, self._stored)
+        return Index(self.docs, list(self.fields.values()), self.key, self.postings, weighting, None, self._terms, self._counts)
+
     @property
     def bare_postings(self) -> DataFrame:
         """Postings without the vector lengths that a saved index keeps in them."""
@@ -146,30 +164,60 @@ class Index:
         docs = self.docs.agg(F.count("*").alias("n_docs"))
         return docs.join(tok).join(terms).withColumn("avg_len", F.col("n_tokens") / F.col("n_docs"))
 
-    def doc_term_weights(self, by_field: bool = False, only: Sequence[str] | None = None) -> DataFrame:
+    def doc_term_weights(self, by_field: bool = False, only: Sequence[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
         """(key[, field], term, weight) by the weighting function; of whole documents,
-        frequencies are summed over fields first."""
-        p = self.postings if only is None else self.postings.filter(F.col("field").isin(*only))
+        frequencies are summed over fields first. With terms (one column, distinct), of
+        these alone: other postings are left out before anything is grouped, and a saved
+        index gives the vector's length as well, as dvl."""
+        near = lambda df: df
+        posts = self.postings
+        if terms is not None:
+            terms = terms.select("term")
+            near = F.broadcast if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else near
+            posts = posts.join(near(terms), "term", "left_semi")
+        p = posts if only is None else posts.filter(F.col("field").isin(*only))
         group = ["key", "field", "term"] if by_field else ["key", "term"]
-        per = p.groupBy(*group).agg(F.sum("fdt").alias("fdt"))
-        idf = self.term_stats().select("term", "ft")
-        if self.weighting.uses_length:
-            ld = self.postings.groupBy("key").agg(F.sum("fdt").alias("ld"))
-            per = per.join(ld, "key")
+        stored = terms is not None and "dvl" in p.columns
+        kept = [F.max(c).alias(c) for c in ("dvl", "ld")] if stored else []
+        per = p.groupBy(*group).agg(F.sum("fdt").alias("fdt"), *kept)
+        if self._terms is not None:
+            idf = self._terms.select("term", "ft")
+            idf = idf if terms is None else idf.join(near(terms), "term", "left_semi")
         else:
-            per = per.withColumn("ld", F.lit(None).cast("bigint"))
-        per = per.join(idf, "term")
+            idf = self.term_stats(posts).select("term", "ft")
+        if not stored:
+            if self.weighting.uses_length:
+                ld = self._lengths.select("key", "ld") if self._lengths is not None else self.postings.groupBy("key").agg(F.sum("fdt").alias("ld"))
+                per = per.join(ld, "key")
+            else:
+                per = per.withColumn("ld", F.lit(None).cast("bigint"))
+        per = per.join(near(idf), "term")
         w = self.weighting
         avg = self.average_length if w.uses_length else 1.0
-        return per.select(*group, w.weight(w.idf(F.lit(self.n_docs), F.col("ft")), F.col("fdt"), F.col("ld"), F.lit(avg)).alias("weight"))
+        weight = w.weight(w.idf(F.lit(self.n_docs), F.col("ft")), F.col("fdt"), F.col("ld"), F.lit(avg))
+        return per.select(*group, weight.alias("weight"), *(["dvl"] if stored else []))
 
     def doc_lengths(self) -> DataFrame:
         """(key, dvl, ld): length of the document's vector, and its tokens."""
         if self._lengths is not None:
             return self._lengths
-        dvl = self.doc_term_weights().groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("dvl"))
-        ld = self.postings.groupBy("key").agg(F.sum("fdt").alias("ld"))
-        return dvl.join(ld, "key")
+        return self._with_length(self._all_lengths([self.weighting]))
+
+    def _all_lengths(self, names: Sequence[Weighting]) -> DataFrame:
+        """(key, ld, dvl_<name> of each weighting), in one pass over the postings."""
+        per = self.postings.groupBy("key", "term").agg(F.sum("fdt").alias("fdt"))
+        per = per.join(self.term_stats().select("term", "ft"), "term")
+        n = F.lit(self.n_docs)
+        long = any(w.uses_length for w in names)
+        if long:
+            per = per.join(self.postings.groupBy("key").agg(F.sum("fdt").alias("_ld")), "key")
+        avg = F.lit(self.average_length if long else 1.0)
+        ld = F.col("_ld") if long else F.lit(None).cast("bigint")
+        square = lambda c: c * c
+        sums = [F.sqrt(F.sum(square(w.weight(w.idf(n, F.col("ft")), F.col("fdt"), ld, avg)))).alias(f"dvl_{w.name}") for w in names]
+        out = per.groupBy("key").agg(F.sum("fdt").alias("ld"), *sums)
+        rest = [F.lit(None).cast("double").alias(f"dvl_{w.name}") for w in weightings() if w.name not in {x.name for x in names}]
+        return out.select("*", *rest)
 
     def field_lengths(self) -> DataFrame:
         """(key, field, dvl) of the vectored fields."""
@@ -206,23 +254,23 @@ class Index:
         return Index(self.docs, list(self.fields.values()), self.key, self.bare_postings.unionByName(extra), self.weighting)
 
     def save(self, path: str, mode: str = "error") -> None:
-        """Writes docs, postings, terms and lengths. Postings are clustered by term and
-        carry their document's vector length and tokens, so that a query reads nothing but
-        its terms' row groups."""
+        """Writes docs, terms, lengths and postings. Postings are clustered by term and
+        carry their document's tokens and its vector's length by every weighting, so that
+        a query reads nothing but its terms' row groups."""
         self.docs.write.mode(mode).parquet(f"{path}/docs")
-        bare = self.bare_postings
-        bare.write.mode(mode).parquet(f"{path}/unsorted")
-        first = Index(self.docs, list(self.fields.values()), self.key, self.spark.read.schema(bare.schema).parquet(f"{path}/unsorted"), self.weighting, counts={"n_docs": self.n_docs})
+        bare = self.bare_postings.persist(StorageLevel.DISK_ONLY)
+        first = Index(self.docs, list(self.fields.values()), self.key, bare, self.weighting, counts={"n_docs": self.n_docs})
         first.term_stats().repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
         first._terms = self.spark.read.parquet(f"{path}/terms")
-        first.doc_lengths().write.mode(mode).parquet(f"{path}/lengths")
+        tokens = first._terms.agg(F.sum("cf")).first()[0] or 0
+        first._counts = {"n_docs": self.n_docs, "n_tokens": int(tokens)}
+        first._all_lengths(weightings()).write.mode(mode).parquet(f"{path}/lengths")
         lengths = self.spark.read.parquet(f"{path}/lengths")
-        full = first.postings.join(lengths, "key").select(*bare.columns, "dvl", "ld")
+        full = joined(bare, lengths, "key").select(*bare.columns, *[c for c in lengths.columns if c != "key"])
         full.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode(mode).parquet(f"{path}/postings")
-        tokens = lengths.agg(F.sum("ld")).first()[0] or 0
-        meta = {"key": self.key, "fields": [asdict(f) for f in self.fields.values()], "weighting": self.weighting.name, "counts": {"n_docs": self.n_docs, "n_tokens": int(tokens)}}
+        bare.unpersist()
+        meta = {"key": self.key, "fields": [asdict(f) for f in self.fields.values()], "weighting": self.weighting.name, "counts": first._counts}
         self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
-        self.spark.createDataFrame([], bare.schema).write.mode("overwrite").parquet(f"{path}/unsorted")
 
     @staticmethod
     def load(spark, path: str) -> Index:
@@ -230,7 +278,7 @@ class Index:
 
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return Index(read("docs"), [FieldSpec(**f) for f in meta["fields"]], meta["key"], read("postings"), by_name(meta["weighting"]), read("lengths"), read("terms"), meta["counts"])
+        return Index(read("docs"), [FieldSpec(**f) for f in meta["fields"]], meta["key"], None, by_name(meta["weighting"]), read("lengths"), read("terms"), meta["counts"], read("postings"))
 
     # ---- queries
 

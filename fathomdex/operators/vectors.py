@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import joined, staged
 from .results import ResultSet
 
 
-def vectors(index, field: str | None = None) -> DataFrame:
-    """(key, term, weight) of unit vectors, of whole documents or of one field."""
+def vectors(index, field: str | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight) of unit vectors, of whole documents or of one field; with terms
+    (one column, distinct), their part of each vector."""
     if field is None:
-        w = index.doc_term_weights()
+        w = index.doc_term_weights(terms=terms)
+        if "dvl" in w.columns:
+            return w.select("key", "term", (F.col("weight") / F.col("dvl")).alias("weight"))
         dvl = index.doc_lengths().select("key", "dvl")
     else:
-        w = index.doc_term_weights(by_field=True, only=[field]).drop("field")
-        dvl = w.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("dvl"))
+        w = index.doc_term_weights(by_field=True, only=[field], terms=terms).drop("field", "dvl")
+        dvl = index.doc_term_weights(by_field=True, only=[field]).groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("dvl"))
     return w.join(dvl, "key").select("key", "term", (F.col("weight") / F.col("dvl")).alias("weight"))
 
 
@@ -75,8 +79,8 @@ def skimmed(vector: DataFrame, percent: float) -> DataFrame:
 def find_similar(index, vector: DataFrame, skim: float = 1.0, field: str | None = None) -> ResultSet:
     """Documents by cosine with a vector. The vector, one document's terms, is joined to
     the weights by term; only documents that share a term come out."""
-    q = skimmed(vector, skim).withColumnRenamed("weight", "_w")
-    hits = vectors(index, field).join(q, "term")
+    q = staged(skimmed(vector, skim).withColumnRenamed("weight", "_w"), "query-vector")
+    hits = joined(vectors(index, field, q.select("term")), q, "term")
     return ResultSet(index, hits.groupBy("key").agg(F.sum(F.col("weight") * F.col("_w")).alias("score")))
 
 

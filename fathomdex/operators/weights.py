@@ -46,5 +46,10 @@ class Okapi(Weighting):
         return idf * fdt / (1.2 * (0.25 + 0.75 * ld / avg) + fdt)
 
 
+def weightings() -> list[Weighting]:
+    """All that an index keeps lengths of vectors by."""
+    return [TFIDF(), TFIDFCount(), Okapi()]
+
+
 def by_name(name: str) -> Weighting:
-    return {w.name: w for w in (TFIDF(), TFIDFCount(), Okapi())}[name]
+    return {w.name: w for w in weightings()}[name]

@@ -262,8 +262,10 @@ class Compiler:
             for j in range(1, len(slots)):
                 starts = F.array_intersect(starts, _shifted(f"p{j}", j))
             pen = F.when(F.size(starts) > 0, F.lit(0.0))
-        elif len(slots) == 2 and not n.missing:
+        elif len(slots) == 2:
             pen = _pair_penalty(n.size, n.ordered)
+            if n.missing:  # one of the two is somewhere
+                pen = F.least(pen, F.when(F.size("p0") + F.size("p1") > 0, F.lit(MISSING)))
         else:
             pen = _penalty_udf(n.size, n.ordered, n.missing)(F.array(*[F.col(f"p{j}") for j in range(len(slots))]))
         return per.select("key", pen.alias("pen")).filter(F.col("pen") < MOST).groupBy("key").agg(F.min("pen").alias(f"w{k}"))
@@ -294,16 +296,25 @@ def _all(cols):
 
 
 def _pair_penalty(size: int, ordered: bool) -> Column:
-    """Least penalty of two terms' positions p0 and p1."""
-
-    def cost(x, y):
-        d = y - x
-        ok = (F.abs(d) <= size) & (d != 0)
-        if ordered:
-            ok = ok & (d > 0)
-        return F.when(ok, F.when(d > 0, GAP * (d - 1)).otherwise(GAP * -d + DISORDER))
-
-    return F.array_min(F.flatten(F.transform("p0", lambda x: F.transform("p1", lambda y: cost(x, y)))))
+    """Least penalty of two terms' positions p0 and p1. It grows with the distance, so the
+    best pair is next to each other where all positions are sorted: of a position and the
+    one after it, each with one or both terms, three steps apart at most."""
+
+    def cost(a, b):
+        # twice the position, and one more where it is the second term's
+        d = F.shiftright(b, 1) - F.shiftright(a, 1)
+        first = (a.bitwiseAND(1) == 0) & (b.bitwiseAND(1) == 1)
+        last = (a.bitwiseAND(1) == 1) & (b.bitwiseAND(1) == 0)
+        near = (d > 0) & (d <= size)
+        out = F.when(near & first, GAP * (d - 1))
+        return out if ordered else out.when(near & last, GAP * d + DISORDER)
+
+    def least(all_: Column) -> Column:
+        step = lambda x, i: F.least(*[cost(x, F.get(all_, i + k)) for k in (1, 2, 3)])
+        return F.array_min(F.transform(all_, step))
+
+    code = lambda name, add: F.transform(F.array_distinct(F.col(name)), lambda x: x * 2 + add)
+    return F.element_at(F.transform(F.array(F.sort_array(F.concat(code("p0", 0), code("p1", 1)))), least), 1)
 
 
 def least_penalty(cols: list[list[int]], size: int, ordered: bool, missing: int):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from .operators.results import results_for
 from .operators.taxonomy import Taxonomy
 from .operators.weights import Okapi, TFIDFCount
 from .plans import ast as A
-from .session import ship_package
+from .session import ship_package, work_dir
 from .sources import ingest, markup
 from .streaming.upsert import KeyedStore, index_stream
 
@@ -49,13 +49,15 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _kept_index(spark, d, kind, build) -> Index:
-    """An index per session and data set; its postings stay in memory or on disk."""
+def _kept_index(spark, d, kind, build, own: bool = True) -> Index:
+    """An index per session and data set; its own postings stay in memory or on disk."""
     at = (spark.sparkContext.applicationId, d, kind)
     if at not in _kept:
         ix = build()
-        ix.postings = ix.postings.persist()
-        ix._lengths = ix.doc_lengths().persist()
+        if own:
+            ix.postings = ix.postings.persist()
+        if own or ix._lengths is None:
+            ix._lengths = ix.doc_lengths().persist()
         _kept[at] = ix
     return _kept[at]
 
@@ -66,7 +68,9 @@ def docs_index(spark, d, weighting=None) -> Index:
         fields = [FieldSpec("text", indexed=True, tokenized=True, vectored=True), FieldSpec("lang", "string", saved=True), FieldSpec("source", "string", saved=True), FieldSpec("n_chars", "integer", saved=True), FieldSpec("quality", "integer", saved=True), FieldSpec("toxic", "integer", saved=True)]
         return Index.build(rows, "doc_id", fields, unique=True, weighting=weighting)
 
-    return _kept_index(spark, d, f"docs-{weighting.name if weighting else ''}", build)
+    if weighting is not None:  # the same postings, weighted otherwise
+        return _kept_index(spark, d, f"docs-{weighting.name}", lambda: docs_index(spark, d).using(weighting), False)
+    return _kept_index(spark, d, "docs-", build)
 
 
 def _with_words(part: DataFrame) -> DataFrame:
@@ -846,7 +850,7 @@ def _(spark, d):
 @query("stream_upsert", "SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id")
 def _(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_type")
-    where = tempfile.mkdtemp(prefix="fathomdex-stream-")
+    where = f"{work_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     rows.repartition(2).write.parquet(f"{where}/in")
     store = KeyedStore(spark, f"{where}/store", "user_id", rows.schema)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
