@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, staged, work_dir
+
+__all__ = ["DOCUMENT_COLUMNS", "SPACE", "WORD", "bind", "only_columns", "staged", "table", "word_count", "words_of", "work_dir"]
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset
-    (tests on one machine), a temporary folder is made once and put there."""
-    ship_package(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="fathomdex-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        import atexit
-
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/fathomdex-{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: it cuts the lineage
-    and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once a row, whatever the optimizer collapses."""
     return F.element_at(F.transform(F.array(value), body), 1)
