@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import joined, staged
 
 
 def contexts(docs: DataFrame, key: str, field: str, word: str, width: int = 10) -> DataFrame:
     """(key, pos, context): the terms around each occurrence of a word."""
-    toks = T.tokens(F.col(field))
-    rows = docs.select(F.col(key).alias("key"), toks.alias("toks"), F.posexplode(toks).alias("pos", "t")).filter(F.col("t") == word.lower())
+    rows = docs.select(F.col(key).alias("key"), T.tokens(F.col(field)).alias("toks"))
+    at = F.filter(F.transform("toks", lambda t, i: F.when(t == word.lower(), i)), lambda i: i.isNotNull())
+    rows = rows.select("key", "toks", F.explode(at).alias("pos"))
     lo = F.greatest(F.lit(1), F.col("pos") + 1 - width)
     left = F.slice("toks", lo, F.col("pos") + 1 - lo)
     right = F.slice("toks", F.col("pos") + 2, F.lit(width))
@@ -32,51 +34,78 @@ def train_senses(labelled: DataFrame) -> DataFrame:
 
 
 def assign_senses(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(key, sense, score): the likeliest sense of each (key, context) row."""
-    senses = model.select("sense", "prior", "missing").distinct()
-    words = rows.select("key", F.explode("context").alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    """(key, sense, score): the likeliest sense of each (key, context) row, the least of
+    equal ones. A term of a sense always raises it above what it has without it, so a row
+    has to be scored for the senses that share a term with it, and beside them only for the
+    best sense of contexts of its length."""
+    model = staged(model, "model")
+    senses = staged(model.select("sense", "prior", "missing").distinct(), "senses")
+    words = staged(rows.select("key", F.explode("context").alias("term")).groupBy("key", "term").agg(F.count("*").alias("n")), "words")
     size = words.groupBy("key").agg(F.sum("n").alias("words"))
-    hit = words.join(model.select("sense", "term", "logp", "missing"), "term").groupBy("key", "sense").agg(F.sum(F.col("n") * (F.col("logp") - F.col("missing"))).alias("gain"))
-    base = size.join(F.broadcast(senses)).select("key", "sense", (F.col("prior") + F.col("words") * F.col("missing")).alias("base"))
-    s = base.join(hit, ["key", "sense"], "left").select("key", "sense", (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("score"))
-    best = Window.partitionBy("key").orderBy(F.col("score").desc(), "sense")
-    return s.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    sizes = size.agg(F.collect_set("words").alias("sizes"))  # at most one a context length
+    level = lambda: F.col("prior") + F.col("words") * F.col("missing")
+    plain = senses.join(F.broadcast(sizes)).withColumn("words", F.explode("sizes"))
+    plain = plain.groupBy("words").agg(F.min(F.struct((-level()).alias("less"), "sense")).alias("b"))
+    hit = joined(words, model.select("sense", "term", "logp", "missing"), "term").groupBy("key", "sense").agg(F.sum(F.col("n") * (F.col("logp") - F.col("missing"))).alias("gain"))
+    known = joined(hit.join(size, "key"), senses, "sense").select("key", F.struct((-(level() + F.col("gain"))).alias("less"), "sense").alias("b"))
+    best = joined(size, plain, "words").select("key", "b").unionByName(known)
+    return best.groupBy("key").agg(F.min("b").alias("b")).select("key", F.col("b.sense").alias("sense"), (-F.col("b.less")).alias("score"))
 
 
-def discover_senses(rows: DataFrame, most: int = 7, features: int = 500, rounds: int = 100, seed: int = 5) -> DataFrame:
+def _counts(contexts, at: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(contexts), max(1, len(at))))
+    for i, ts in enumerate(contexts):
+        for t in ts:
+            if t in at:
+                x[i, at[t]] += 1
+    return x
+
+
+def _mixture(x: np.ndarray, most: int, rounds: int, seed: int, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log prior, log p of each feature) of the likeliest mixture, less its parameters."""
+    rng = np.random.default_rng(seed)
+    best = None
+    for k in range(2, most + 1):
+        r = rng.dirichlet(np.ones(k), len(x))
+        last = -np.inf
+        for _ in range(rounds):
+            prior = np.log(r.mean(0) + 1e-9)
+            p = r.T @ x + 0.1
+            p = np.log(p / p.sum(1, keepdims=True))
+            logs = prior + x @ p.T
+            high = logs.max(1, keepdims=True)
+            norm = high[:, 0] + np.log(np.exp(logs - high).sum(1))
+            r = np.exp(logs - norm[:, None])
+            if abs(norm.sum() - last) < 1e-6:
+                break
+            last = norm.sum()
+        value = last - 0.5 * k * n_features * np.log(max(2, len(x)))
+        if best is None or value > best[0]:
+            best = (value, prior, p)
+    return best[1], best[2]
+
+
+def discover_senses(rows: DataFrame, most: int = 7, features: int = 500, rounds: int = 100, seed: int = 5, most_contexts: int = 20_000) -> DataFrame:
     """(key, pos, sense) of the contexts of one word: mixtures of 2 to `most` senses by
-    EM with a fixed seed, the likeliest (less a cost per parameter) kept."""
+    EM with a fixed seed, the likeliest (less a cost per parameter) kept. The mixture is
+    fitted to at most most_contexts contexts, drawn by a hash; all are assigned by it."""
     kind = dict(rows.dtypes)["key"]
     top = rows.select(F.explode("context").alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(features)
     names = sorted(r["term"] for r in top.collect())
+    at = {t: i for i, t in enumerate(names)}
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "pos"])
+        prior, p = _mixture(_counts(pdf["context"], at), most, rounds, seed, len(names))
+        return pd.DataFrame({"prior": prior, "p": list(p)})
+
+    drawn = rows.select("key", "pos", "context").orderBy(F.xxhash64("key", "pos"), "key", "pos").limit(most_contexts)
+    model = drawn.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "prior double, p array<double>").collect()  # one row a sense
+    prior, p = np.array([r["prior"] for r in model]), np.array([r["p"] for r in model])
+
+    def assign(batches):
+        for pdf in batches:
+            best = (prior + _counts(pdf["context"], at) @ p.T).argmax(1)
+            yield pd.DataFrame({"key": pdf["key"], "pos": pdf["pos"], "sense": best.astype(int)})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "pos"]).reset_index(drop=True)
-        at = {t: i for i, t in enumerate(names)}
-        x = np.zeros((len(pdf), max(1, len(names))))
-        for i, ts in enumerate(pdf["context"]):
-            for t in ts:
-                if t in at:
-                    x[i, at[t]] += 1
-        rng = np.random.default_rng(seed)
-        best = None
-        for k in range(2, most + 1):
-            r = rng.dirichlet(np.ones(k), len(x))
-            last = -np.inf
-            for _ in range(rounds):
-                prior = r.mean(0) + 1e-9
-                p = r.T @ x + 0.1
-                p /= p.sum(1, keepdims=True)
-                logs = np.log(prior) + x @ np.log(p).T
-                high = logs.max(1, keepdims=True)
-                norm = high[:, 0] + np.log(np.exp(logs - high).sum(1))
-                r = np.exp(logs - norm[:, None])
-                if abs(norm.sum() - last) < 1e-6:
-                    break
-                last = norm.sum()
-            value = last - 0.5 * k * len(names) * np.log(max(2, len(x)))
-            if best is None or value > best[0]:
-                best = (value, r.argmax(1))
-        return pd.DataFrame({"key": pdf["key"], "pos": pdf["pos"], "sense": best[1].astype(int)})
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"key {kind}, pos int, sense int")
+    return rows.select("key", "pos", "context").mapInPandas(assign, f"key {kind}, pos int, sense int")

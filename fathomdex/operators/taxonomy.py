@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import joined, staged
+
 LINKS = ("morph", "kind_of", "instance_of", "variant_of", "sense_of", "nickname_of", "abbreviation_of", "misspelling_of")
 
 
@@ -24,18 +26,14 @@ class Taxonomy:
         """(term, depth) of all terms below one, breadth first, each at its least depth.
         One join of the frontier per level; it ends where no new term comes."""
         e = self.edges.filter(F.col("link").isin(*links)).select("child", "parent")
-        spark = e.sparkSession
-        seen = {term: 0}
-        frontier = [term]
+        seen = frontier = e.sparkSession.createDataFrame([(term, 0)], "term string, depth int")
         for level in range(1, depth + 1):
-            rows = spark.createDataFrame([(t,) for t in frontier], "parent string")
-            below = e.join(rows, "parent").select("child").distinct()
-            frontier = [r["child"] for r in below.collect() if r["child"] not in seen]
-            if not frontier:
+            below = joined(e, frontier.select(F.col("term").alias("parent")), "parent").select(F.col("child").alias("term")).distinct()
+            frontier = staged(below.join(seen, "term", "left_anti").select("term", F.lit(level).alias("depth")), "below")
+            if not frontier.limit(1).count():
                 break
-            seen |= dict.fromkeys(frontier, level)
-        del seen[term]
-        return spark.createDataFrame(sorted(seen.items()), "term string, depth int")
+            seen = seen.unionByName(frontier)
+        return seen.filter("depth > 0")
 
     def subsumed(self, term: str, most: int = 500, links=LINKS) -> list[str]:
         """Up to `most` terms below one, the nearest first: a query's expansion."""
