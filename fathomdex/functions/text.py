@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,3 +168,71 @@ def pipeline(text, preset: str = "lc", stop_words=STOP_WORDS) -> Column:
 
         return porter_tokens(toks)
     raise ValueError(f"unknown preset {preset}")
+
+
+# ---- analyzers: how an indexed text and the words of a query become terms
+
+_RUNS = regex.compile(r"(?V1)[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+|[[\p{L}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]]+")
+_CJK_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+
+
+def universal_words(text: str) -> list[str]:
+    """A query's terms, in a row as `universal_tokens` has them, but for the marks of where
+    its first run begins and its last one ends: a text may go on there."""
+    runs = _RUNS.findall(text.lower())
+    out: list[str] = []
+    for k, run in enumerate(runs):
+        if not _CJK_RUN.match(run):
+            out.append(run)
+            continue
+        if k:
+            out.append("0" + run[0])
+        if len(run) == 1:
+            out.append(run)
+        for a, b in zip(run, run[1:], strict=False):
+            out += [a, a + b]
+        if len(run) > 1:
+            out.append(run[-1])
+        if k + 1 < len(runs):
+            out.append(run[-1] + "0")
+    if len(runs) == 1 and len(out) > 2:  # one run: its first and last letters are in pairs
+        out = out[1:-1]
+    return out
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """column: text column -> array of terms; words: text of a query -> its terms."""
+
+    column: Callable[[Column], Column]
+    words: Callable[[str], list[str]]
+
+
+def _stopped(text: str) -> list[str]:
+    words = (w.lower() for w in query_tokens(text))
+    return [w for w in words if w not in STOP_WORDS and len(w) <= 30 and not re.search(r"\d", w)]
+
+
+def _stemmed(text: str) -> list[str]:
+    from .stem import porter
+
+    return [porter(w) for w in query_tokens(text)]
+
+
+ANALYZERS: dict[str, Analyzer] = {
+    "": Analyzer(cased_tokens, query_tokens),
+    "universal": Analyzer(universal_tokens, universal_words),
+    "stop": Analyzer(lambda c: pipeline(c, "lc_stop"), _stopped),
+    "stem": Analyzer(lambda c: pipeline(c, "lc_stem"), _stemmed),
+}
+
+
+def register_analyzer(name: str, column: Callable[[Column], Column], words: Callable[[str], list[str]] = query_tokens) -> None:
+    """A user's own analyzer, for fields that name it. An index that is saved and loaded
+    elsewhere needs it registered there as well."""
+    ANALYZERS[name] = Analyzer(column, words)
+
+
+def stop_in_field(toks: Column, field, only: str = "review", words=STOP_WORDS) -> Column:
+    """Terms without stop words where they come from one field; others as they are."""
+    return F.when(F.lower(_col(field)) == only.lower(), drop_stop_words(toks, words)).otherwise(toks)

@@ -33,11 +33,14 @@ class FieldSpec:
     trimmed: bool = False
     case_sensitive: bool = False
     multiple: bool = False
+    analyzer: str = ""
 
     def __post_init__(self):
         object.__setattr__(self, "name", self.name.lower())
         if self.type not in TYPES:
             raise ValueError(f"unknown field type {self.type}")
+        if self.analyzer not in T.ANALYZERS:
+            raise ValueError(f"unknown analyzer {self.analyzer}")
         if self.saved != (self.type != "none"):
             raise ValueError(f"{self.name}: a saved field needs a type, and only a saved field has one")
 
@@ -70,7 +73,7 @@ def postings_of(docs: DataFrame, key: str, fields: Sequence[FieldSpec]) -> DataF
         if not f.indexed:
             continue
         text = F.array_join(F.col(f.name), " ") if f.multiple else F.col(f.name).cast("string")
-        toks = T.cased_tokens(text) if f.tokenized else F.array(F.trim(text))
+        toks = T.ANALYZERS[f.analyzer].column(text) if f.tokenized else F.array(F.trim(text))
         parts.append(F.struct(F.lit(f.name).alias("field"), toks.alias("toks")))
     # documents are dealt by key before they become postings: their texts are smaller, and
     # a document's postings are then grouped where they are

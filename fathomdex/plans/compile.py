@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stem import Morphology, porter
 from . import ast as A
-from .optimize import optimized
+from .optimize import analysed, optimized
 from .relations import QueryError, relation, similar
 
 GAP, DISORDER, MISSING, MOST = 0.1, 0.25, 10.0, 100.0
@@ -366,7 +366,7 @@ def run(index, tree: A.Node, knowledge=None, taxonomy=None, boost: bool = True,
     make occurrences in a field count more."""
     if fields:
         tree = A.Fields(tuple(f.lower() for f in fields), tree)
-    tree = optimized(tree, index)
+    tree = optimized(analysed(tree, index), index)
     comp = Compiler(index, knowledge, taxonomy, boost, multipliers)
     root = comp.node(tree)
     base = comp.frame(root)
