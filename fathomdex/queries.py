@@ -605,6 +605,22 @@ def _(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.size(T.pipeline("text", "lc_stop")).cast("long").alias("n"))
 
 
+_STOPPED = f"""list_filter(toks, lambda t: t NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)}) AND length(t) <= 30 AND NOT regexp_matches(t, '[0-9]'))"""
+
+
+@query("stop_in_field", f"WITH {_TOK} SELECT key, len(CASE WHEN lang = 'en' THEN {_STOPPED} ELSE toks END)::BIGINT AS n FROM tok JOIN documents ON doc_id = key")
+def _(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.size(T.stop_in_field(T.tokens("text"), "lang", "en")).cast("long").alias("n"))
+
+
+@query("analyzer_phrase", f"""WITH {_TOK}, st AS (SELECT key, ' ' || array_to_string({_STOPPED}, ' ') || ' ' AS row FROM tok) SELECT key FROM st WHERE contains(row, ' idiot clown ')""")
+def _(spark, d):
+    """A phrase in a field whose analyzer leaves stop words out, in texts and in queries."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    ix = Index.build(rows, "doc_id", [FieldSpec("text", indexed=True, tokenized=True, vectored=True, analyzer="stop")], unique=True)
+    return keys(ix.search(A.Phrase(*[A.Term(w) for w in ("idiot", "of", "the", "clown")])))
+
+
 @query("cjk_tokens")
 def _(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.size(T.universal_tokens("text")).alias("n"))
@@ -644,6 +660,24 @@ def _(spark, d):
     return P.passages(table(spark, d, "documents"), "doc_id", "text", ["the"], 3, join=False).select("key", "start", "end", "passage")
 
 
+_FOUND = r"""WITH t AS (SELECT doc_id AS key, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '') AS toks FROM documents),
+m AS (SELECT key, toks, unnest(toks) AS term, generate_subscripts(toks, 1) AS p FROM t), f AS (SELECT * FROM m WHERE lower(term) IN ('idiot', 'clown'))"""
+
+
+@query("passage_join", f"""{_FOUND}, s AS (SELECT key, greatest(1, min(p) - 3)::INTEGER AS s, least(max(len(toks)), max(p) + 3)::INTEGER AS e, count(*)::BIGINT AS n_matches, count(DISTINCT lower(term)) / 2.0 AS score FROM f GROUP BY key)
+SELECT key, s AS start, e AS "end", n_matches, score::DOUBLE AS score, array_to_string(toks[s:e], ' ') AS passage FROM s JOIN t USING (key)""")
+def _(spark, d):
+    out = P.PassageBuilder(["idiot", "clown"]).field("text", "join", 3).passages(table(spark, d, "documents"), "doc_id")
+    return out.select("key", "start", "end", F.size("positions").cast("long").alias("n_matches"), "score", "passage")
+
+
+@query("passage_unique", f"""{_FOUND}, w AS (SELECT key, greatest(1, p - 4)::INTEGER AS s, least(len(toks), p + 4)::INTEGER AS e, p, toks FROM f), x AS (SELECT key, s, e, row_number() OVER (PARTITION BY key ORDER BY p) AS n, array_to_string(toks[s:e], ' ') AS whole FROM w)
+SELECT key, n::INTEGER AS n, s AS start, e AS "end", CASE WHEN length(whole) <= 30 THEN whole ELSE whole[1:27] || '...' END AS passage FROM x""")
+def _(spark, d):
+    out = P.PassageBuilder(["idiot", "clown"]).field("text", "unique", 4, 30).passages(table(spark, d, "documents"), "doc_id")
+    return out.select("key", "n", "start", "end", "passage")
+
+
 _MARK = r"""regexp_replace({}, '(^|[^\p{{L}}\p{{N}}\x01])((?i:the))($|[^\p{{L}}\p{{N}}])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"""
 
 
@@ -694,6 +728,15 @@ def _(spark, d):
     return C.scores(ix, model).select("key", F.round("score", 6).alias("score"))
 
 
+@query("class_field", SQL["rocchio_score"].replace("SELECT unit.key, round(sum(u * x / l), 6) AS score FROM unit JOIN g USING (term), l GROUP BY unit.key", ", sc AS (SELECT unit.key, sum(u * x / l) AS score FROM unit JOIN g USING (term), l GROUP BY unit.key) SELECT doc_id AS key, (CASE WHEN score >= 0.2 THEN 'near' ELSE '' END || CASE WHEN score >= 0.05 THEN 'wide' ELSE '' END) AS classes, CASE WHEN score >= 0.05 THEN round(score, 6) END AS score FROM documents LEFT JOIN sc ON sc.key = doc_id"))
+def _(spark, d):
+    """Two classes of one model, wide and near, as a field of the index."""
+    ix = docs_index(spark, d)
+    model = C.rocchio(ix, _toxic(spark, d), n_features=10_000_000)
+    out = C.Classes(spark, [C.RocchioModel("wide", model, 0.05), C.RocchioModel("near", model, 0.2)]).classified(ix)
+    return out.docs.select(F.col("doc_id").alias("key"), F.array_join("class", "").alias("classes"), F.round(F.array_max("class-score"), 6).alias("score"))
+
+
 @query("rocchio_classify")
 def _(spark, d):
     ix = docs_index(spark, d)

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -65,3 +65,26 @@ def joined(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame
     is broadcast, larger ones are joined by shuffle."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(small) if few else small, on, how)
+
+
+def ranked(df: DataFrame, by: list[Column], sums: dict[str, str] | None = None, rank: str = "rank") -> DataFrame:
+    """df with each row's place, from 1, in an order over all rows, and running sums of
+    columns ({new: column}) along it. Rows are dealt by ranges of the order and counted
+    within them, so no task has more than its range. by has to tell all rows apart."""
+    sums = sums or {}
+    at = f"_range_{uuid.uuid4().hex[:8]}"
+    rows = staged(df.repartitionByRange(*by).withColumn(at, F.spark_partition_id()), "ranked")
+    earlier = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = rows.groupBy(at).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())])
+    over = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    base = sizes.select(at, over("_n").alias(f"{at}_n"), *[over(f"_s{i}").alias(f"{at}_s{i}") for i in range(len(sums))])
+    inside = Window.partitionBy(at).orderBy(*by)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    cols = [(F.row_number().over(inside) + F.col(f"{at}_n")).alias(rank)]
+    cols += [(F.sum(c).over(so_far) + F.col(f"{at}_s{i}")).alias(new) for i, (new, c) in enumerate(sums.items())]
+    return rows.join(F.broadcast(base), at).select(*[quoted(c) for c in df.columns], *cols)
+
+
+def quoted(name: str) -> Column:
+    """A column whose name may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")

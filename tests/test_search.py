@@ -7,11 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomdex.functions.text import query_tokens
+from fathomdex.functions import text as T
+from fathomdex.functions.text import query_tokens, register_analyzer
 from fathomdex.operators import classification as C
 from fathomdex.operators import clustering as K
 from fathomdex.operators import lookups as L
 from fathomdex.operators import passages as P
+from fathomdex.operators import senses as W
 from fathomdex.operators import vectors as V
 from fathomdex.operators.index import FieldSpec, Index
 from fathomdex.operators.results import results_for
@@ -257,10 +259,144 @@ def test_classification(index, spark):
 def test_rocchio_query_tries_the_whole_grid(spark, monkeypatch):
     from fathomdex import queries as engine
 
-    tried, rocchio = [], C.rocchio
-    monkeypatch.setattr(C, "rocchio", lambda *a, **b: tried.append((b["beta"], b["gamma"])) or rocchio(*a, **b))
+    tried, grid = [], C.grid_points
+    monkeypatch.setattr(C, "grid_points", lambda *a: tried.append(a) or grid(*a))
     engine.QUERIES["rocchio_classify"](spark, "/root/testdata/sf0.001")
-    assert set(tried[:-1]) == set(itertools.product((32.0, 64.0, 128.0), repeat=2)) and tried[-1] in tried[:-1]
+    three = (32.0, 64.0, 128.0)
+    assert tried == [((0.0, 8.0), three, three)]
+    assert set(grid(*tried[0])) == {(a, b, g) for a in (0.0, 8.0) for b, g in itertools.permutations(three, 2)}
+
+
+def test_ranking_quality_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(50):
+        own = sorted((rng.choice([0, 1, 2, 3, 5, 8]) for _ in range(rng.randint(1, 12))), reverse=True)
+        others = [rng.choice([0, 1, 2, 4, 5]) for _ in range(30)]
+        above = np.array([sum(o >= s for o in others) for s in own])
+        points, best = [], (0.0, 0.0)
+        curve = [((k + 1) / (k + 1 + above[k]), (k + 1) / len(own), own[k]) for k in range(len(own)) if own[k] > 0]
+        for level in range(11):
+            points.append(max([p for p, r, _ in curve if r >= level / 10 - 1e-12], default=0.0))
+        for p, r, s in curve:
+            f1 = 2 * p * r / (p + r)
+            if f1 > best[0] + 1e-12:
+                best = (f1, s)
+        quality, cut = C.ranking_quality(np.array(own, float), above, len(own))
+        assert quality == pytest.approx(sum(points) / 11 if curve else 0.0) and cut == best[1]
+
+
+def test_classes_are_learned_kept_and_applied(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(f"k{i:03d}", " ".join(rng.choice(["apple", "pear", "plum"] if i % 4 == 0 else WORDS) for _ in range(8))) for i in range(120)]
+    ix = Index.build(spark.createDataFrame(rows, "key string, body string"), "key", [FieldSpec("body", indexed=True, tokenized=True, vectored=True)])
+    fruit = spark.createDataFrame([(f"k{i:03d}",) for i in range(0, 120, 4)], "key string")
+    model = C.RocchioModel.train(ix, "fruit", fruit, n_features=10, back_off=False)
+    found_by_model = {r["key"] for r in model.classify(ix).collect()}
+    # held-out members may score below the threshold, which training members set
+    assert len(found_by_model) >= 28 and found_by_model <= {r["key"] for r in fruit.collect()}
+    assert C.RocchioModel.train(ix, "none", fruit.limit(0)).classify(ix).count() == 0
+    C.Classes(spark, [model]).save(f"{tmp_path}/c")
+    kept = C.Classes.load(spark, f"{tmp_path}/c")
+    assert kept.names() == ["fruit"] and kept.get("fruit").threshold == model.threshold
+    out = kept.classified(ix)
+    assert found(out, "class = fruit") == found_by_model
+    assert kept.classified(ix, skip=["fruit"]).search("class = fruit").df.count() == 0
+    more = kept.ingest(out, spark.createDataFrame([("new", "pear plum"), ("k000", "java build")], "key string, body string"))
+    got = {r["key"]: r["class"] for r in more.docs.select("key", "class").collect()}
+    assert got["new"] == ["fruit"] and got["k000"] == [] and {k for k, c in got.items() if c} == found_by_model - {"k000"} | {"new"} and len(got) == 121
+
+
+def test_order_over_ranges(spark):
+    from fathomdex.session import ranked
+
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 5), rng.randint(0, 1), "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, score int, hit int, `a.b` string").repartition(7)
+    got = ranked(df, [F.col("score").desc(), F.col("k")], {"hits": "hit"}).collect()
+    hits = 0
+    for place, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        hits += r[2]
+        assert (place, hits) in {(g["rank"], g["hits"]) for g in got if g["k"] == r[0]}
+    assert ranked(df.limit(0), [F.col("k")]).count() == 0
+
+
+def test_feature_clusters(spark):
+    df = spark.createDataFrame([("run", 1.0), ("runs", 2.0), ("x1", 5.0), ("java", 0.0)], "term string, weight double")
+    names = lambda how, **kw: sorted(r["terms"] for r in C.clustered_features(df, how, **kw).collect())
+    assert names("contingency") == [["java"], ["run"], ["runs"]]
+    assert names("stemming") == names("morph") == [["java"], ["run", "runs"]]
+
+    class Alias:
+        def variants_of(self, term):
+            return ["java"] if term == "run" else []
+
+    assert names("source", source=Alias()) == [["java", "run"], ["runs"]]
+    w = C.cluster_weights(C.clustered_features(df, "stemming"), df)
+    top = C.first_clusters(w).collect()
+    assert [(r["cluster"], r["weight"]) for r in top] == [("run", 1.0)]
+    twice = {r["cluster"]: (r["terms"], r["weight"]) for r in C.merged_clusters(w, w).collect()}
+    assert twice == {"run": (["run", "runs"], 6.0), "java": (["java"], 0.0)}
+    assert C.cluster_of(w, "runs").first()["cluster"] == "run"
+
+
+def test_analyzers(spark):
+    rows = [("a", "東京都に行く and Java", "running tests"), ("b", "京都 大阪", "runs"), ("c", "大阪へ東京", "the run of it"), ("d", "東", None)]
+    fields = [FieldSpec("t", indexed=True, tokenized=True, vectored=True, analyzer="universal"), FieldSpec("u", indexed=True, tokenized=True, analyzer="stem")]
+    ix = Index.build(spark.createDataFrame(rows, "key string, t string, u string"), "key", fields)
+    cjk = {"東京": "ac", "京都": "ab", "東京都": "a", "東": "acd", "java": "a", "大阪": "bc", '"京都 大阪"': "b", '"京都大阪"': "", "java <and> running": "a"}
+    for q, want in cjk.items():
+        assert found(ix, q) == set(want), q
+    assert found(ix, "runs") == {"a", "b", "c"} and found(ix, A.Term("runs").within("t")) == set()
+    with pytest.raises(ValueError):
+        FieldSpec("t", analyzer="no such")
+    register_analyzer("comma", lambda c: F.split(F.coalesce(c, F.lit("")), ","), lambda q: q.split(","))
+    ix = Index.build(spark.createDataFrame([("a", "x y,z"), ("b", "x,y z")], "key string, t string"), "key", [FieldSpec("t", indexed=True, tokenized=True, analyzer="comma")])
+    assert found(ix, A.Term("x y")) == {"a"} and found(ix, A.Term("z")) == {"a"}
+
+
+def test_stop_words_of_queries_are_left_out(spark):
+    ix = Index.build(spark.createDataFrame([("a", "the end of java"), ("b", "java")], "key string, t string"), "key", [FieldSpec("t", indexed=True, tokenized=True, analyzer="stop")])
+    assert found(ix, "the <and> java") == {"a", "b"} and found(ix, "the") == set()
+    assert found(ix, A.Phrase(A.Term("end"), A.Term("the"), A.Term("java"))) == {"a"}
+
+
+def test_passage_builder(spark):
+    df = spark.createDataFrame([(1, "a the b c d e java the z", "java"), (2, None, "no")], "key int, text string, title string")
+    got = P.PassageBuilder(["the", "java"]).field("text", "unique", 1, 9, True).field(None).passages(df, "key").orderBy("field", "n").collect()
+    assert [(r["field"], r["n"], r["passage"]) for r in got] == [("text", 1, "a the b"), ("text", 2, "e java..."), ("text", 3, "java t..."), ("title", 1, "java")]
+    one = P.PassageBuilder(["the", "java"], "[", "]").field("text", "join", 0).passages(df, "key").collect()
+    assert len(one) == 1 and one[0]["passage"] == "the b c d e java the" and one[0]["positions"] == [2, 7, 8] and one[0]["score"] == 1.0
+    assert one[0]["highlighted"] == "[the] b c d e [java] [the]"
+    assert P.PassageBuilder(["the"]).field("text").passages(df, "key").first()["start"] == 1
+
+
+def test_senses_by_brute_force(spark):
+    rng = random.Random(5)
+    labelled = [(rng.choice("xyz"), [rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))]) for _ in range(40)]
+    asked = [(f"k{i}", [rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))]) for i in range(60)]
+    model = W.train_senses(spark.createDataFrame(labelled, "sense string, context array<string>"))
+    m = model.collect()
+    logp = {(r["sense"], r["term"]): r["logp"] for r in m}
+    senses = {(r["sense"], r["prior"], r["missing"]) for r in m}
+    got = {r["key"]: (r["sense"], r["score"]) for r in W.assign_senses(spark.createDataFrame(asked, "key string, context array<string>"), model).collect()}
+    for k, ctx in asked:
+        best = max(prior + sum(logp.get((s, t), missing) for t in ctx) for s, prior, missing in senses)
+        s, score = got[k]
+        assert score == pytest.approx(best)
+        assert next(prior + sum(logp.get((s, t), missing) for t in ctx) for n, prior, missing in senses if n == s) == pytest.approx(best)
+
+
+def test_senses_found_in_a_sample_go_to_all(spark):
+    rows = [(i, 0, ["river", "water", "boat"] if i % 2 else ["money", "loan", "cash"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "key int, pos int, context array<string>")
+    got = {r["key"]: r["sense"] for r in W.discover_senses(df, 2, most_contexts=20).collect()}
+    assert len(got) == 60 and len({got[i] for i in range(0, 60, 2)}) == len({got[i] for i in range(1, 60, 2)}) == 1 and got[0] != got[1]
+
+
+def test_stop_words_in_one_field(spark):
+    df = spark.createDataFrame([("review",), ("title",)], "field string")
+    rows = df.select(T.stop_in_field(F.split(F.lit("the good"), " "), "field")).collect()
+    assert [r[0] for r in rows] == [["good"], ["the", "good"]]
 
 
 def test_taxonomy(spark):
