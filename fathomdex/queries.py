@@ -22,7 +22,7 @@ from .operators.results import results_for
 from .operators.taxonomy import Taxonomy
 from .operators.weights import Okapi, TFIDFCount
 from .plans import ast as A
-from .session import ship_package, work_dir
+from .session import ship_package, staged, work_dir
 from .sources import ingest, markup
 from .streaming.upsert import KeyedStore, index_stream
 
@@ -795,8 +795,8 @@ def _(spark, d):
 @query("sense_supervised")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    ctx = W.contexts(docs, "doc_id", "text", "the", 5).join(docs.select(F.col("doc_id").alias("key"), F.col("source").alias("sense")), "key")
-    rows = ctx.select(F.concat_ws("-", "key", "pos").alias("key"), "sense", "context")
+    ctx = W.contexts(docs, "doc_id", "text", "the", 5, keep=["source"]).filter("key is not null")
+    rows = staged(ctx.select(F.concat_ws("-", "key", "pos").alias("key"), F.col("source").alias("sense"), "context"), "contexts")
     return W.assign_senses(rows.select("key", "context"), W.train_senses(rows))
 
 

@@ -386,6 +386,45 @@ def test_senses_by_brute_force(spark):
         assert next(prior + sum(logp.get((s, t), missing) for t in ctx) for n, prior, missing in senses if n == s) == pytest.approx(best)
 
 
+def _shuffled(spark) -> int:
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in map(sc.statusStore().executorList(False).apply, range(sc.statusStore().executorList(False).size())))
+
+
+def test_senses_with_rare_terms_joined_and_many_senses(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda n: [words[min(int(rng.expovariate(0.15)), 39)] for _ in range(n)]
+    labelled = [(rng.choice("xyz"), draw(rng.randint(1, 6))) for _ in range(80)]
+    asked = [(f"k{i}", [*draw(rng.randint(1, 7)), "unseen"]) for i in range(200)] + [("k0", draw(3)), ("none", [])]
+    df = spark.createDataFrame(asked, "key string, context array<string>")
+    model = W.train_senses(spark.createDataFrame(labelled, "sense string, context array<string>"))
+    m = model.collect()
+    logp = {(r["sense"], r["term"]): r["logp"] for r in m}
+    senses = {(r["sense"], r["prior"], r["missing"]) for r in m}
+    merged = {}
+    for k, ctx in asked:
+        merged[k] = merged.get(k, []) + ctx
+    want = {k: max(prior + sum(logp.get((s, t), missing) for t in ctx) for s, prior, missing in senses) for k, ctx in merged.items() if ctx}
+    for cells in (0, 40, 2_000_000):
+        got = {r["key"]: r["score"] for r in W.assign_senses(df, model, most_cells=cells).collect()}
+        assert got == pytest.approx(want)
+    monkeypatch.setattr(W, "AT_ONCE", 9)
+    assert {r["key"]: r["score"] for r in W.assign_senses(df, model, most_cells=40).collect()} == pytest.approx(want)
+    monkeypatch.setattr(W, "MOST_SENSES", 2)
+    assert {r["key"]: r["score"] for r in W.assign_senses(df, model).collect()} == pytest.approx(want)
+
+
+def test_senses_shuffle_contexts_and_not_their_senses(spark):
+    labelled = spark.range(4000).select(F.concat(F.lit("s"), F.col("id") % 40).alias("sense"), F.array(*[F.concat(F.lit(f"t{i}"), F.hash("id", F.lit(i)) % 3) for i in range(6)]).alias("context"))
+    asked = spark.range(20_000).select("id", F.array(*[F.concat(F.lit(f"t{i}"), F.hash("id", F.lit(i)) % 3) for i in range(6)]).alias("context")).withColumnRenamed("id", "key")
+    model = W.train_senses(labelled)
+    before = _shuffled(spark)
+    assert W.assign_senses(asked, model).count() == 20_000
+    assert (_shuffled(spark) - before) / 20_000 < 60
+
+
 def test_senses_found_in_a_sample_go_to_all(spark):
     rows = [(i, 0, ["river", "water", "boat"] if i % 2 else ["money", "loan", "cash"]) for i in range(60)]
     df = spark.createDataFrame(rows, "key int, pos int, context array<string>")
