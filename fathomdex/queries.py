@@ -73,6 +73,13 @@ def docs_index(spark, d, weighting=None) -> Index:
     return _kept_index(spark, d, "docs-", build)
 
 
+def vectors_index(spark, d) -> Index:
+    """The index of documents by document, for vectors of them all."""
+    fields = [FieldSpec("text", indexed=True, tokenized=True, vectored=True)]
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return _kept_index(spark, d, "vectors", lambda: Index.build(rows, "doc_id", fields, unique=True).by_document(), False)
+
+
 def _with_words(part: DataFrame) -> DataFrame:
     """part with the words of its name, and a score of each in a parallel field."""
     part = part.withColumn("words", F.split("p_name", " "))
@@ -731,8 +738,8 @@ def _(spark, d):
 @query("class_field", SQL["rocchio_score"].replace("SELECT unit.key, round(sum(u * x / l), 6) AS score FROM unit JOIN g USING (term), l GROUP BY unit.key", ", sc AS (SELECT unit.key, sum(u * x / l) AS score FROM unit JOIN g USING (term), l GROUP BY unit.key) SELECT doc_id AS key, (CASE WHEN score >= 0.2 THEN 'near' ELSE '' END || CASE WHEN score >= 0.05 THEN 'wide' ELSE '' END) AS classes, CASE WHEN score >= 0.05 THEN round(score, 6) END AS score FROM documents LEFT JOIN sc ON sc.key = doc_id"))
 def _(spark, d):
     """Two classes of one model, wide and near, as a field of the index."""
-    ix = docs_index(spark, d)
-    model = C.rocchio(ix, _toxic(spark, d), n_features=10_000_000)
+    ix = vectors_index(spark, d)
+    model = staged(C.rocchio(ix, _toxic(spark, d), n_features=10_000_000), "model")
     out = C.Classes(spark, [C.RocchioModel("wide", model, 0.05), C.RocchioModel("near", model, 0.2)]).classified(ix)
     return out.docs.select(F.col("doc_id").alias("key"), F.array_join("class", "").alias("classes"), F.round(F.array_max("class-score"), 6).alias("score"))
 

@@ -568,3 +568,40 @@ def test_observed_results(index):
     rs, seen = index.search("<exact> java").observed()
     n = rs.df.count()
     assert seen.get["size"] == n and seen.get["best"] > 0
+
+
+def test_index_by_document_has_the_same_vectors_and_classes(spark, monkeypatch):
+    from fathomdex import session
+
+    rng = random.Random(9)
+    words = [f"{c}{d}" for c in "abcdefghijkl" for d in ("x", "Y", "z1", "q")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30))), rng.choice(words)) for i in range(300)] + [(300, "", None), (301, None, "aX ax"), (302, None, None)]
+    fields = [FieldSpec("text", indexed=True, tokenized=True, vectored=True), FieldSpec("title", indexed=True, tokenized=True)]
+    plain = Index.build(spark.createDataFrame(rows, "key int, text string, title string"), "key", fields, unique=True)
+    members = spark.createDataFrame([(i,) for i in range(0, 303, 5)], "key int")
+    of = lambda df: {tuple(r)[:-1]: pytest.approx(r[-1]) for r in df.collect()}
+    want = of(V.vectors(plain))
+    model = of(C.rocchio(plain, members, n_features=1000))
+    for most in (200_000, 20):
+        monkeypatch.setattr(session, "COMMON_ROWS", most)
+        ix = plain.by_document()
+        assert {tuple(r)[:-1]: r[-1] for r in V.vectors(ix).collect()} == want
+        assert {tuple(r)[:-1]: r[-1] for r in C.rocchio(ix, members, n_features=1000).collect()} == model
+    assert sorted(map(tuple, ix.term_stats().collect())) == sorted(map(tuple, plain.term_stats().select("term", "ft", "cf", "maxfdt").collect()))
+    features = C.rocchio(plain, members, n_features=30)
+    classes = C.Classes(spark, [C.RocchioModel("wide", features, 0.05), C.RocchioModel("near", features, 0.3)])
+    a, b = ({(r["key"], r["class"]): r["score"] for r in classes.assignments(x).collect()} for x in (plain, ix))
+    assert a and b == pytest.approx(a)
+
+
+def test_class_field_keeps_no_postings(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"t{rng.randint(0, 3000):x}y" for _ in range(300))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(400).selectExpr("id as doc_id", "1 as quality", "cast(id % 9 = 0 as int) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = lambda: sum(r.memSize() + r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    before, written = kept(), _shuffled(spark)
+    assert entry.queries()["class_field"](spark, str(tmp_path)).count() == 400
+    assert kept() == before and _shuffled(spark) - written < sum(len(t) for _, t in rows)
