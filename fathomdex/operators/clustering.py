@@ -17,6 +17,8 @@ MAX_PAIRWISE = 4000
 #: Clusters whose distances are held at once, when few are left of more elements; rows of
 #: a task, and columns of a block.
 HELD_CLUSTERS, TASK_ROWS, COLUMNS = 2000, 512, 2048
+#: Nearest pairs of clusters that a pass over all pairs brings to the driver, and its tasks.
+PAIRS, PAIR_TASKS = 2_000_000, 48
 
 
 def elements(index, keys: DataFrame | None = None, n_features: int = 50, field: str | None = None) -> DataFrame:
@@ -181,12 +183,131 @@ def _spanning_tree_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
     return forest.labels()
 
 
+def _nearest_pairs(spark, held, label: np.ndarray):
+    """(i, j, distance), i < j, of every pair of clusters nearer than some bound, about
+    PAIRS of them: a task keeps its share of the nearest of its pairs, and those count that
+    are below every task's bound. Clusters are dealt at random, so bounds are alike."""
+    names = np.unique(label)
+    place = np.random.default_rng(7).permutation(len(names))
+    of = place[np.searchsorted(names, label)]
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(names) + 1))
+    named = np.empty_like(names)
+    named[place] = names
+    share = max(1, PAIRS // PAIR_TASKS)
+    state = spark.sparkContext.broadcast((order, start))
+
+    def blocks(clusters, start, most):
+        """Clusters in runs of at most so many elements, or one larger cluster."""
+        sums = np.append(0, np.cumsum(start[clusters + 1] - start[clusters]))
+        a = 0
+        while a < len(clusters):
+            b = max(a + 1, int(np.searchsorted(sums, sums[a] + most, "right")) - 1)
+            yield a, b
+            a = b
+
+    def run(t):
+        x, (order, start) = held.value, state.value
+        sq = (x * x).sum(1)
+        every = np.arange(len(start) - 1)
+        mine = every[t::PAIR_TASKS]
+        bound, got, waiting = np.inf, [], 0
+        cuts = list(blocks(every, start, COLUMNS))
+
+        def least():
+            i, j, d = (np.concatenate(c) for c in zip(*got))
+            if len(d) <= share:
+                return [(i, j, d)], bound
+            low = np.partition(d, share)[share]
+            keep = d < low
+            return [(i[keep], j[keep], d[keep])], low
+
+        for a, b in blocks(mine, start, TASK_ROWS):
+            rows = mine[a:b]
+            at = np.concatenate([order[start[r] : start[r + 1]] for r in rows])
+            first = np.append(0, np.cumsum(start[rows + 1] - start[rows]))
+            left = np.hstack([-2 * x[at], sq[at][:, None], np.ones((len(at), 1))])
+            for lo, hi in cuts:
+                if hi - 1 <= rows[0]:  # each pair once: columns behind the row
+                    continue
+                cols = order[start[lo] : start[hi]]
+                right = np.hstack([x[cols], np.ones((len(cols), 1)), sq[cols][:, None]]).T
+                k = int(np.searchsorted(rows, hi - 1))
+                e = np.full((k, hi - lo), -np.inf)
+                step = max(1, 2 * TASK_ROWS * COLUMNS // len(cols))
+                for r in range(0, first[k], step):
+                    d = left[r : min(r + step, first[k])] @ right
+                    if hi - lo < len(cols):
+                        d = np.maximum.reduceat(d, start[lo:hi] - start[lo], axis=1)
+                    g0 = int(np.searchsorted(first, r, "right")) - 1
+                    g1 = int(np.searchsorted(first, r + len(d), "left"))
+                    cut = np.maximum(first[g0:g1] - r, 0)
+                    e[g0:g1] = np.maximum(e[g0:g1], np.maximum.reduceat(d, cut, axis=0) if g1 - g0 < len(d) else d)
+                np.maximum(e, 0, out=e)
+                i, j = np.nonzero(e < bound)
+                ok = rows[i] < j + lo
+                i, j = i[ok], j[ok]
+                if len(i):
+                    got.append((rows[i], j + lo, e[i, j]))
+                    waiting += len(i)
+                    if waiting > 2 * share:
+                        got, bound = least()
+                        waiting = len(got[0][0])
+        if got:
+            got, bound = least()
+        i, j, d = got[0] if got else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return i.astype(np.int32), j.astype(np.int32), d, bound
+
+    found = _in_tasks(spark, list(range(PAIR_TASKS)), run)
+    state.unpersist()
+    bound = min(f[3] for f in found)
+    i, j, d = (np.concatenate([f[c][f[2] < bound] for f in found]) for c in range(3))
+    i, j = named[i], named[j]
+    return np.minimum(i, j), np.maximum(i, j), np.sqrt(d)
+
+
+def _joins_below(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int):
+    """Rounds of joins (i, j, distance) among n clusters, of which the pairs below a bound
+    are given: pairs that are each other's nearest. The joined cluster is below the bound
+    from another one only if all its parts are."""
+    while len(d):
+        rank = np.empty(len(d), np.int64)
+        rank[np.lexsort((b, a, d))] = np.arange(len(d))  # a strict order, so one pair is always joined
+        least = np.full(n, len(d))
+        np.minimum.at(least, a, rank)
+        np.minimum.at(least, b, rank)
+        both = (least[a] == rank) & (least[b] == rank)
+        i, j = a[both], b[both]
+        yield i, j, d[both]
+        into, parts = np.arange(n), np.ones(n, np.int64)
+        into[j] = i
+        parts[i] = 2
+        a, b = into[a], into[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = a != b
+        a, b, d = a[keep], b[keep], d[keep]
+        if not len(d):
+            break
+        pair = a.astype(np.int64) * n + b
+        order = np.argsort(pair, kind="stable")
+        pair, d = pair[order], d[order]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        size = np.diff(np.append(first, len(pair)))
+        pair, d = pair[first], np.maximum.reduceat(d, first)
+        a, b = pair // n, pair % n
+        whole = size == parts[a] * parts[b]
+        a, b, d = a[whole], b[whole], d[whole]
+
+
 def _complete_linkage_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
     """_complete_linkage in rounds: any two clusters that are each other's nearest are
     joined, which makes the same joins in another order, because a join brings no cluster
-    nearer. A cluster's nearest one holds until one of them is joined; others are found by
-    tasks of some clusters against all. When few clusters are left, their distances are
-    held at once. The n - k lowest joins are kept. Equal elements are one from the start."""
+    nearer. A pass over all pairs of clusters finds every pair nearer than a bound that
+    leaves about PAIRS of them, and all joins below the bound follow from these pairs alone
+    (_joins_below). Where a pass brings no join, as with very many equal distances, each
+    cluster's nearest one is found, by tasks of some clusters against all. When few
+    clusters are left, their distances are held at once. The n - k lowest joins are kept.
+    Equal elements are one from the start."""
     _, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
     point = np.sort(first)
     back = np.searchsorted(point, first[back.ravel()])
@@ -240,7 +361,27 @@ def _complete_linkage_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
         state.unpersist()
         return [(ids[m], b, ids[at], d) for m, b, at, d in found]
 
+    def join(i, j, d):
+        """The bookkeeping of joins i < j, each cluster in one of them at most."""
+        nonlocal label, alive, joins
+        height[i] = np.maximum(d, np.maximum(height[i], height[j]))
+        joins += zip(height[i].tolist(), i.tolist(), j.tolist())
+        into = np.arange(n)
+        into[j] = i
+        label = into[label]
+        alive = alive[into[alive] == alive]
+        gone = np.zeros(n, bool)
+        gone[i] = gone[j] = True
+        near[alive[gone[alive] | (near[alive] < 0) | gone[near[alive]]]] = -1
+
+    tried = np.inf
     while len(alive) > HELD_CLUSTERS:
+        if len(alive) < 0.75 * tried:
+            before = len(alive)
+            for i, j, d in _joins_below(*_nearest_pairs(spark, held, label), n):
+                join(i, j, d)
+            tried = np.inf if len(alive) < before else before
+            continue
         for m, b, at, _ in far(alive[near[alive] < 0], False):
             best[m], near[m] = b, at
         i = alive[(near[near[alive]] == alive) & (alive < near[alive])]
@@ -248,15 +389,7 @@ def _complete_linkage_rounds(spark, x: np.ndarray, k: int) -> np.ndarray:
             i = alive[[np.argmin(best[alive])]]
         j = near[i]
         i, j = np.minimum(i, j), np.maximum(i, j)
-        height[i] = np.maximum(best[i], np.maximum(height[i], height[j]))
-        joins += zip(height[i].tolist(), i.tolist(), j.tolist())
-        gone = np.zeros(n, bool)
-        gone[i] = gone[j] = True
-        into = np.arange(n)
-        into[j] = i
-        label = into[label]
-        alive = alive[into[alive] == alive]
-        near[alive[gone[alive] | gone[near[alive]]]] = -1
+        join(i, j, best[i])
     d = np.zeros((len(alive), len(alive)))
     for m, _, _, rows in far(alive, True):
         d[np.searchsorted(alive, m)] = rows

@@ -243,6 +243,27 @@ def test_clusters_of_many_elements(spark, monkeypatch):
     assert parts(K.hac(many, 3).collect()) == {frozenset(range(c, 4100, 3)) for c in range(3)}
 
 
+def test_hac_finds_its_joins_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(900, 5)), rng.normal(size=(500, 5)) * 0.1 + 3, np.round(rng.normal(size=(200, 5)))])
+    want = K._complete_linkage(x.copy(), 1)
+    assert len(set(want)) == 1
+    calls, plain = [], K._in_tasks
+    monkeypatch.setattr(K, "_in_tasks", lambda spark, parts, run: calls.append(len(parts)) or plain(spark, parts, run))
+    monkeypatch.setattr(K, "HELD_CLUSTERS", 40)
+    same = lambda a, b: len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
+    some = x[:1400]
+    for k in (5, 60, 700):
+        calls.clear()
+        assert same(K._complete_linkage_rounds(spark, some, k), K._complete_linkage(some, k))
+        assert len(calls) <= 4
+    # few pairs at once, larger blocks of one cluster, and nothing but equal distances
+    for name, value in (("PAIRS", 300), ("PAIR_TASKS", 3), ("TASK_ROWS", 16), ("COLUMNS", 32)):
+        monkeypatch.setattr(K, name, value)
+    assert same(K._complete_linkage_rounds(spark, some[700:1100], 5), K._complete_linkage(some[700:1100], 5))
+    assert len(set(K._complete_linkage_rounds(spark, np.eye(60), 7).tolist())) == 7
+
+
 def test_classification(index, spark):
     members = index.search("<exact> java").df.select("key")
     t = C.contingency(index, members, prune=False)
